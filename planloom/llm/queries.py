@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, lattice, pii, quality, repetition, token_counts
+from . import contamination, language, lattice, pii, quality, repetition, token_counts, warc
 from .common import held_out, table
 
 
@@ -26,6 +26,15 @@ def op3_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition_rules(table(spark, sf_dir, "documents"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = warc.write_archives(table(spark, sf_dir, "pages"))
+    return warc.read_records(index)
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -49,6 +58,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_pii": op2_pii,
     "op3_repetition_rules": op3_repetition_rules,
+    "op6_decontamination": op6_decontamination,
+    "op7_warc": op7_warc,
     "op8_token_counts": op8_token_counts,
     "op9_language_id": op9_language_id,
     "op10_sentencepiece": op10_sentencepiece,
