@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, language, lattice, pii, quality, repetition, token_counts, warc
+from . import contamination, forest, language, lattice, pii, quality, repeats, repetition, token_counts, warc
 from .common import held_out, table
 
 
@@ -26,6 +26,14 @@ def op3_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition_rules(table(spark, sf_dir, "documents"))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.copy_groups(table(spark, sf_dir, "documents"))
+
+
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -58,6 +66,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_pii": op2_pii,
     "op3_repetition_rules": op3_repetition_rules,
+    "op4_jaccard_join": op4_jaccard_join,
+    "op5_suffix_array_dedup": op5_suffix_array_dedup,
     "op6_decontamination": op6_decontamination,
     "op7_warc": op7_warc,
     "op8_token_counts": op8_token_counts,
