@@ -1,0 +1 @@
+"""The camera path as a stream."""
