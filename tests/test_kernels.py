@@ -128,11 +128,14 @@ def test_rooms(corners, to, area, least):
     assert out == rooms.build(ws, [], NONE, cells, floor, np.linspace((1, 1), to, 30), NONE)
 
 
-def test_gap_to_a_perpendicular_wall_is_closed():
+def test_gap_in_a_wall_is_closed_at_the_least_cost():
     ws, cells, floor = room_scene(RECT)
     out = rooms.build([ws[0] | {"end": 3.0}, *ws[1:]], [], NONE, cells, floor, np.linspace((1, 1), (3, 2), 30), NONE)
     (c,) = out["closures"]
-    assert (c["kind"], c["start"], c["end"]) == ("extend_perp", 3.0, 4.0) and len(out["rooms"]) == 1
+    # the floor is seen up to 3.95, so closing there is shorter than going on to the wall at 4.0
+    assert (c["kind"], c["start"], round(c["end"], 2)) == ("snap_boundary", 3.0, 3.95) and len(out["rooms"]) == 1
+    out = rooms.build([ws[0] | {"end": 3.0}, *ws[1:]], [], NONE, cells, NONE, np.linspace((1, 1), (3, 2), 30), NONE)
+    assert [(c["kind"], c["cost"]) for c in out["closures"]] == [("extend_perp", 0.0)]
 
 
 def test_ceiling_choice():
