@@ -34,21 +34,27 @@ def label_cells(cells: DataFrame, keys: list[str], diagonal: bool = False, value
     reach = 1 if diagonal else 0
 
     def join_runs(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["i", "a"], ignore_index=True)
+        group = part.groupby(by, dropna=False, sort=False).ngroup().to_numpy() if by else np.zeros(len(part), np.int64)
+        part = part.assign(_g=group).sort_values(["_g", "i", "a"], ignore_index=True)
         i, a, b = (part[c].to_numpy() for c in ("i", "a", "b"))
-        place = i * (1 << 40) + a  # runs in raster order
-        end = i * (1 << 40) + b
+        # rows of one raster after the other, with a free one between two rasters
+        row = part["_g"].to_numpy() * (i.max() - i.min() + 2) + i - i.min()
+        wide = b.max() - a.min() + 4
+        place, end = row * wide + a - a.min() + 1, row * wide + b - a.min() + 1
         # in the next row: the first run that ends late enough, up to the last that starts early enough
-        lo = np.searchsorted(end, place + (1 << 40) - reach)
-        hi = np.searchsorted(place, end + (1 << 40) + reach, "right")
+        lo = np.searchsorted(end, place + wide - reach)
+        hi = np.searchsorted(place, end + wide + reach, "right")
         n = np.maximum(hi - lo, 0)
         left = np.repeat(np.arange(len(part)), n)
         right = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
         root = find_roots(len(part), left, right)
-        return part.assign(li=i[root], lj=a[root])
+        return part.drop(columns="_g").assign(li=i[root], lj=a[root])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in runs.schema) + ", li long, lj long"
-    labelled = runs.groupBy(*by).applyInPandas(join_runs, schema)
+    # several small rasters share a call of the kernel; one raster is never split
+    buckets = 4 * int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bucket = F.pmod(F.xxhash64(*by), F.lit(buckets)) if by else F.lit(0).cast("long")
+    labelled = runs.withColumn("_b", bucket).groupBy("_b").applyInPandas(lambda part: join_runs(part.drop(columns="_b")), schema)
     return marked.join(labelled.drop("a", "b"), [*by, "i", "_r"]).drop("_r")
 
 
