@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import col, mix64, packs, texts_of
 
 SPACE = 0x2581
-BLOCK = 32
+BLOCK = 128
 ODD = np.uint64(0x9E3779B97F4A7C15)
 BASE = np.uint64(0x100000001B3)
 
@@ -53,6 +53,9 @@ class Pieces:
         self.raw = [sp.id_to_piece(i).replace(chr(SPACE), " ").encode() for i in range(n)]
         for b, i in enumerate(self.by_byte.tolist()):
             self.raw[i] = bytes([b])
+        self.raw_size = np.array([len(r) for r in self.raw])
+        self.raw_begin = np.cumsum(self.raw_size) - self.raw_size
+        self.raw_bytes = np.frombuffer(b"".join(self.raw), np.uint8)
         begins: dict[int, int] = {}
         for i in normal:
             h = 0
@@ -108,33 +111,36 @@ class Lattice:
         left = np.repeat(ends, sizes) - np.arange(n)  # characters from here to the word's end
         code = chars.astype(np.uint64) + np.uint64(1)
         at, h = np.arange(n), np.zeros(n, np.uint64)
-        place, length, piece = [], [], []
+        place, piece, nth = [], [], []
+        found = np.zeros(n, np.int64)  # edges of each place so far
         for size in range(1, model.most + 1):
             h = h * BASE + code[at + size - 1]
             ids = model.find(h)
-            final = ids >= 0
-            place.append(at[final])
-            length.append(np.full(int(final.sum()), size))
-            piece.append(ids[final])
+            ok = ids >= 0
             if size == 1:
-                bare = np.flatnonzero(~final)
-                place.append(bare)
-                length.append(np.ones(len(bare), np.int64))
-                piece.append(np.full(len(bare), -1))
-            more = (ids > -2) & (left[at] > size)
+                ok, ids = np.ones(n, bool), np.where(ok, ids, -1 - (ids == -1))  # -1 (-2) for no piece (but beginnings of some)
+            mine = at[ok]
+            place.append(mine)
+            piece.append(np.maximum(ids[ok], -1))
+            nth.append(found[mine])
+            found[mine] += 1
+            more = ((ids > -1) | (ids == (-2 if size == 1 else -1))) & (left[at] > size)
             at, h = at[more], h[more]
             if not len(at):
                 break
-        place, length, piece = np.concatenate(place), np.concatenate(length), np.concatenate(piece)
-        order = np.argsort(place, kind="stable")
-        self.place, self.length, self.piece = place[order], length[order], piece[order]
-        self.eo = np.concatenate([[0], np.cumsum(np.bincount(self.place, minlength=n))])
+        self.eo = np.concatenate([[0], np.cumsum(found)])
+        slot = [self.eo[p] + k for p, k in zip(place, nth, strict=True)]
+        self.place, self.length, self.piece = (np.empty(self.eo[-1], np.int64) for _ in range(3))
+        for k, (to, p, i) in enumerate(zip(slot, place, piece, strict=True)):
+            self.place[to], self.length[to], self.piece[to] = p, k + 1, i
         width = 1 + (chars[self.place] > 0x7F) + (chars[self.place] > 0x7FF) + (chars[self.place] > 0xFFFF)
         weight = np.where(self.piece >= 0, model.weight[self.piece], model.unknown * width)
         self.next = np.where(left[self.place] == self.length, -1, self.place + self.length)
         beta = np.zeros(n + 1)  # the last entry is the word's end
-        by_left = np.argsort(left[self.place], kind="stable")
-        bounds = np.concatenate([[0], np.cumsum(np.bincount(left[self.place]))])
+        to_end = left[self.place]
+        # 16-bit keys sort by radix; there are longer words only in odd texts
+        by_left = np.argsort(to_end.astype(np.uint16) if to_end.max() < 1 << 16 else to_end, kind="stable")
+        bounds = np.concatenate([[0], np.cumsum(np.bincount(to_end))])
         for lo, hi in zip(bounds[1:-1].tolist(), bounds[2:].tolist(), strict=True):
             e = by_left[lo:hi]
             v = weight[e] + beta[self.next[e]]
@@ -144,9 +150,11 @@ class Lattice:
             beta[p[first]] = top + np.log(np.add.reduceat(np.exp(v - np.repeat(top, np.diff(np.append(first, len(v))))), first))
         #: log probability of each edge, given that its place is reached
         self.log_p = np.minimum(weight + beta[self.next] - beta[self.place], 0.0)
-        total = np.cumsum(np.exp(self.log_p))
-        before = np.concatenate([[0.0], total])[self.eo[:-1]]
-        self.upto = total - before[self.place]
+        self.upto = np.exp(self.log_p)
+        rank = np.arange(len(self.place)) - self.eo[self.place]
+        for k in range(1, int(rank.max()) + 1):  # place by place, so a word's numbers don't depend on its neighbours
+            to = np.flatnonzero(rank == k)
+            self.upto[to] += self.upto[to - 1]
         self.upto[self.eo[1:] - 1] = 2.0  # the last edge takes what rounding leaves
 
 
@@ -188,46 +196,68 @@ def walk(lat: Lattice, start: np.ndarray, key: np.ndarray) -> tuple[np.ndarray,
     return count, out
 
 
-class Open:
-    """The search's open nodes of one text: value, location phi, the path they leave, at which of
-    its edges, and the edge taken instead (-1: all siblings from there on)."""
+Nodes = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]  # value, phi, edge number in the path, edge (-1: a lump)
 
-    def __init__(self):
-        self.nodes: list[tuple[np.ndarray, np.ndarray, int, np.ndarray, np.ndarray]] = []
 
+def expand(lat: Lattice, items: list[tuple]) -> list[list[Nodes]]:
+    """The siblings along each path[first:first + BLOCK], and those beyond as one lump, under `top`.
 
-def expand(lat: Lattice, path: np.ndarray, before: float, first: int, top: float, key: int, hold: bool = False):
-    """The siblings along path[first:first + BLOCK], and those beyond as one lump, under `top`.
-
-    before: log probability of path[:first]. hold: the largest of all these is `top` itself (they
-    were a lump with this value)."""
-    part = path[first : first + BLOCK]
-    log_p = lat.log_p[part]
-    lead = before + np.concatenate([[0.0], np.cumsum(log_p)])
-    p = lat.place[part]
+    An item is (path, log probability of path[:first], first, top, key, log probability of the path).
+    Each row of a matrix is one path, so its sums don't depend on what else is expanded with it."""
+    n = len(items)
+    part = np.full((n, BLOCK), -1)
+    for r, (path, _, first, *_) in enumerate(items):
+        cut = path[first : first + BLOCK]
+        part[r, : len(cut)] = cut
+    before, first, top, keys, leaf = (np.array([x[k] for x in items], kind) for k, kind in ((1, float), (2, np.int64), (3, float), (4, np.uint64), (5, float)))
+    real = part >= 0
+    step = np.where(real, lat.log_p[part], 0.0)
+    lead = np.cumsum(np.concatenate([before[:, None], step], 1), 1)
+    row, nth = np.nonzero(real)
+    taken = part[row, nth]
+    p = lat.place[taken]
     sizes = lat.eo[p + 1] - lat.eo[p]
     edge = np.repeat(lat.eo[p] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
-    at = np.repeat(np.arange(len(part)), sizes)
-    other = edge != part[at]
-    edge, at = edge[other], at[other]
-    phi = lead[at] + lat.log_p[edge]
-    at = at + first
-    if first + BLOCK < len(path):
-        rest = float(lat.log_p[path[first + BLOCK :]].sum())
-        mass = -np.expm1(rest) if rest < 0 else 0.0
-        if mass > 0:
-            phi, edge, at = np.append(phi, lead[-1] + np.log(mass)), np.append(edge, -1), np.append(at, first + BLOCK)
-    if not len(phi):
-        return None
-    keys = mix64(np.uint64(key) + at.astype(np.uint64) * ODD) + edge.astype(np.uint64) * BASE
-    u = uniform(keys)
-    if hold:
+    of = np.repeat(np.arange(len(p)), sizes)
+    other = edge != taken[of]
+    edge, of = edge[other], of[other]
+    row, nth = row[of], nth[of]
+    phi = lead[row, nth] + lat.log_p[edge]
+    at = first[row] + nth
+    more = np.array([len(x[0]) > x[2] + BLOCK for x in items]) & (leaf < lead[:, -1])
+    lump = np.flatnonzero(more)
+    with np.errstate(divide="ignore"):
+        lump_phi = lead[lump, -1] + np.log(-np.expm1(leaf[lump] - lead[lump, -1]))
+    row, phi = np.concatenate([row, lump]), np.concatenate([phi, lump_phi])
+    at, edge = np.concatenate([at, first[lump] + BLOCK]), np.concatenate([edge, np.full(len(lump), -1)])
+    value = gumbel_below(phi, top[row], uniform(node_keys(lat, keys[row], at, edge)))
+    cut = np.searchsorted(row[: len(row) - len(lump)], np.arange(n + 1))
+    out: list[list[Nodes]] = [[(value[a:b], phi[a:b], at[a:b], edge[a:b])] if b > a else [] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+    for k, r in enumerate(lump.tolist(), len(row) - len(lump)):
+        out[r].append((value[k : k + 1], phi[k : k + 1], at[k : k + 1], edge[k : k + 1]))
+    return out
+
+
+def node_keys(lat: Lattice, keys, at: np.ndarray, edge: np.ndarray) -> np.ndarray:
+    """Keys of the draws of nodes: by path, place in the path and rank among the place's edges."""
+    rank = np.where(edge >= 0, edge - lat.eo[lat.place[edge]], -1)
+    return mix64(keys + at.astype(np.uint64) * ODD) + rank.astype(np.uint64) * BASE
+
+
+def opened(lat: Lattice, item: tuple) -> list[Nodes]:
+    """The nodes of a lump whose value is `top`: one of them, by its mass, has this very value."""
+    nodes = expand(lat, [item])[0]
+    if nodes:
+        phi = np.concatenate([x[1] for x in nodes])
+        edge, at = (np.concatenate([x[k] for x in nodes]) for k in (3, 2))
+        u = uniform(node_keys(lat, np.uint64(item[4]) + BASE, at, edge))
         best = int(np.argmax(phi - np.log(-np.log(u))))
-        value = gumbel_below(phi, np.full(len(phi), top), uniform(keys + np.uint64(1)))
-        value[best] = top
-    else:
-        value = gumbel_below(phi, np.full(len(phi), top), u)
-    return value, phi, at, edge
+        for value, *_ in nodes:
+            if best < len(value):
+                value[best] = item[3]
+                break
+            best -= len(value)
+    return nodes
 
 
 def sample_pack(model: Pieces, texts: list[str], keys: np.ndarray, k: int):
@@ -261,29 +291,31 @@ def sample_pack(model: Pieces, texts: list[str], keys: np.ndarray, k: int):
     kappa = np.full(len(texts), -np.inf)
     alive = [i for i in range(len(texts)) if len(done[i][0][0])]
     fresh = dict.fromkeys(alive, (0, 0.0, 0))  # text: (path to expand, log p before, from its edge)
+    key_of = [int(x) for x in keys]
     for s in range(1, k + 1):
+        now = [i for i in alive if i in fresh]
+        items = []
+        for i in now:
+            path, before, at = fresh[i]
+            edges_i, log_p, top = done[i][path]
+            items.append((edges_i, before, at, top, key_of[i] ^ (s << 40), log_p))
+        for i, nodes in zip(now, expand(lat, items) if items else [], strict=True):
+            queue[i] += [(*x, fresh[i][0]) for x in nodes]
         pick = {}
         for i in alive:
             q = queue[i]
-            if i in fresh:
-                path, before, at = fresh[i]
-                got = expand(lat, done[i][path][0], before, at, done[i][path][2], int(keys[i]) ^ (s << 40))
-                if got:
-                    q.append([*got, path])
             while q:
-                j = max(range(len(q)), key=lambda x: q[x][0].max())
-                value, phi, at, edge, path = q[j]
+                value, phi, at, edge, path = max(q, key=lambda x: x[0].max())
                 b = int(value.argmax())
-                if value[b] == -np.inf:
-                    break
                 v, e, a = float(value[b]), int(edge[b]), int(at[b])
+                if v == -np.inf:
+                    break
                 value[b] = -np.inf
                 if e >= 0:
                     pick[i] = (v, float(phi[b]), path, a, e)
                     break
-                got = expand(lat, done[i][path][0], float(lat.log_p[done[i][path][0][:a]].sum()), a, v, (int(keys[i]) ^ (s << 40)) + a, True)
-                if got:
-                    q.append([*got, path])
+                edges_i, log_p, _ = done[i][path]
+                q += [(*x, path) for x in opened(lat, (edges_i, float(lat.log_p[edges_i[:a]].sum()), a, v, (key_of[i] ^ (s << 40)) + a & 2**64 - 1, log_p))]
         for i, (v, *_) in pick.items():
             kappa[i] = v
         for i in alive:
@@ -338,6 +370,17 @@ def decode_ids(model: Pieces, ids: Iterable[int]) -> str:
     return out[1:] if out.startswith(" ") else out
 
 
+def decodes_to(model: Pieces, ids: np.ndarray, text: bytes) -> bool:
+    """Whether decode_ids gives the text, with the pieces' bytes gathered at once."""
+    size = model.raw_size[ids]
+    total = int(size.sum())
+    if total != len(text) + (total > 0):
+        return False
+    end = np.cumsum(size)
+    at = np.repeat(model.raw_begin[ids] - end + size, size) + np.arange(total)
+    return model.raw_bytes[at].tobytes()[1:] == text
+
+
 def text_keys(ids: list[str | None], seed: int) -> np.ndarray:
     """64 bits of each row key (null has its own)."""
     raw = [hashlib.blake2b(b"\0" if x is None else b"\1" + x.encode(), digest_size=8, salt=seed.to_bytes(8, "little")).digest() for x in ids]
@@ -364,7 +407,7 @@ def sampled_segmentations(
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pieces(model_path)
-        for b in packs(batches, "_t"):
+        for b in packs(batches, "_t", 1 << 21):
             texts = texts_of(b, "_t")
             lat, found = sample_pack(model, texts, text_keys(col(b, "_k").to_pylist(), seed), k)
             got = {n: [] for n, _ in extra}
@@ -377,8 +420,8 @@ def sampled_segmentations(
                 with np.errstate(over="ignore"):
                     got["inclusion"].append(np.ones(len(ids)) if kappa == -np.inf else -np.expm1(-np.exp(log_p - kappa)))
                 got["ids_sha256"].append([hashlib.sha256(x.astype("<i4").tobytes()).hexdigest() for x in ids])
-                plain = t.replace(chr(SPACE), " ")
-                got["round_trip"].append(all(decode_ids(model, x.tolist()) == plain for x in ids))
+                plain = t.replace(chr(SPACE), " ").encode("utf-8", "surrogatepass")
+                got["round_trip"].append(all(decodes_to(model, x, plain) for x in ids))
                 if with_ids:
                     got["ids"].append([x.astype(np.int32) for x in ids])
             yield pa.RecordBatch.from_arrays([*(col(b, c) for c in keep), *(pa.array(got[n], schema_type(t)) for n, t in extra)], [*keep, *got])
