@@ -2,6 +2,10 @@
 
 import collections
 
+import duckdb
+import pandas as pd
+import pytest
+
 import corpus_pipeline
 from planloom.llm import pii, quality, queries
 from planloom.llm.common import held_out, table
@@ -49,3 +53,14 @@ def test_stages_keep_the_columns(spark, data):
 def test_every_operator_is_registered():
     numbers = collections.Counter(n.split("_")[0] for n in queries.QUERIES)
     assert numbers == {f"op{n}": 1 for n in range(1, 11)}
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_sql_says_the_same(spark, name):
+    d = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    for t in ("documents", "pages", "benchmark"):
+        con.execute(f"create view {t} as select * from '{d}/{t}.parquet'")
+    clean = lambda v: "null" if v is None or v is pd.NA or v != v else str(round(float(v), 9)) if isinstance(v, (int, float)) else v
+    rows = lambda df: sorted(tuple(map(clean, r)) for r in df[sorted(df.columns)].astype(object).itertuples(index=False))
+    assert rows(queries.QUERIES[name](spark, d).toPandas()) == rows(con.execute(queries.ORACLES[name]).df())
