@@ -346,7 +346,7 @@ def gap_classify(spark, d):
     s = path.segments(c, ["user_id"], ORDER).withColumn("lo", F.least("x", "x1")).withColumn("hi", F.greatest("x", "x1"))
     met = joins.range_join(lines, s, [], "off", "lo", "hi", 20).withColumn("at", path.crossing(F.col, F.col("off"))).where("at is not null").select("off", "at")
     key = ["o_custkey", "g0"]
-    per = lambda points, value, low, high, name: joins.range_join(points, g.withColumn("lo", low).withColumn("hi", high), ["off"], value, "lo", "hi", 5).groupBy(*key).agg(F.count("*").alias(name))
+    per = lambda points, value, low, high, name: joins.count_between(points, g.withColumn("lo", low).withColumn("hi", high), ["off"], value, "lo", "hi", key, name)
     crossings = per(met, "at", F.col("a"), F.col("b"), "crossings")
     band = joins.range_join(c.select("x", "z"), lines.withColumn("lo", F.col("off") - 4).withColumn("hi", F.col("off") + 4), [], "x", "lo", "hi", 8).where(F.abs(F.col("x") - F.col("off")) < 4).select("off", "z")
     occluders = per(band, "z", F.col("a") - 0.2, F.col("b") + 0.2, "occ")
