@@ -13,14 +13,14 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round links every node's larger neighbours, then its smaller ones, to its smallest
     neighbour; the number of rounds grows with the logarithm of the component size. Minima are
-    aggregated before the shuffle, so a node with very many neighbours is no hot key there, and the
-    joins are left to adaptive execution to split. Rounds end in the shared folder, so a lost
+    aggregated before the shuffle and written before the join, so a node with very many neighbours is
+    no hot key in the one and can be split by adaptive execution in the other. Rounds end in the shared folder, so a lost
     executor costs at most one round.
     """
 
     def star(e: DataFrame, large: bool) -> DataFrame:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        least = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
         linked = both.where("b > a") if large else both
         out = linked.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         if not large:

@@ -166,7 +166,8 @@ def near_copies(docs: DataFrame, cfg: Forest | None = None, id_col: str = "doc_i
     leaves = classes.select("cid", "sig", F.explode(F.sequence(F.lit(0), F.lit(cfg.trees - 1))).alias("t")).select(
         "t", F.xxhash64("t", F.expr(f"substring(sig, t * {width} + 1, {4 * d})")).alias("p"), "cid"
     )
-    buckets = leaves.groupBy("t", "p").agg(F.count("*").alias("n")).where("n > 1")
+    # written, so that the join deals both sides itself and can split a bucket that many share
+    buckets = written(leaves.groupBy("t", "p").agg(F.count("*").alias("n")).where("n > 1"))
     members = leaves.join(buckets, ["t", "p"]).withColumn("blocks", F.ceil(F.col("n") / cfg.block).cast("int"))
     members = members.withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
     dealt = members.select("t", "p", "cid", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o")).select(
@@ -248,7 +249,8 @@ def without_copies(docs: DataFrame, cfg: Forest | None = None, id_col: str = "do
     and text count as one; texts without words all stay."""
     cfg = cfg or Forest()
     rows, classes = near_copies(docs, cfg, id_col, text_col)
-    best = classes.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.k").alias("_k"))
-    kept = best.unionByName(rows.where("cid is null").select(F.col("k").alias("_k")).distinct())
+    own = "planloom row key"  # no column of docs is called so
+    best = classes.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.k").alias(own))
+    kept = best.unionByName(rows.where("cid is null").select(F.col("k").alias(own)).distinct())
     names = docs.columns
-    return docs.withColumn("_k", row_key(id_col, text_col)).join(kept, "_k", "left_semi").dropDuplicates(["_k"]).select(*names)
+    return docs.withColumn(own, row_key(id_col, text_col)).join(kept, own, "left_semi").dropDuplicates([own]).select(*names)

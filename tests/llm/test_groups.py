@@ -232,3 +232,7 @@ def test_records_are_warc(spark):
     with pytest.raises(ValueError):
         warc.parse(raw[:-8])
     assert pa.array([1])  # pyarrow is what reads the archives
+
+
+def test_clashing_columns_pass_through(odd_docs):
+    assert {r["_k"] for r in forest.without_copies(odd_docs).select("_k").collect()} == {"clash"}
