@@ -39,8 +39,8 @@ U64 = 2**64 - 1
 class Rule:
     length: int = 400
     gram: int = 32
-    most: int = 4096
-    shard_bytes: int = 4 << 20
+    most: int = 2048
+    shard_bytes: int = 2 << 20
 
 
 def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
@@ -187,10 +187,12 @@ def mark_row(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
 def removed_spans(docs: DataFrame, rule: Rule, id_col: str, text_col: str) -> DataFrame:
     """(k, spans): for each row key with repeats the byte spans (a, b) to remove; they may overlap."""
     table = written(block_table(docs, rule, id_col, text_col))
-    often = table.groupBy("m").agg(F.count("*").alias("c")).where("c > 1").select("m")
+    # counts are written before they are joined: then the join deals both sides itself and can split
+    # a minimiser that very many windows share
+    often = written(table.groupBy("m").agg(F.count("*").alias("c")).where("c > 1").select("m"))
     shared = written(table.join(often, "m"))
     each = written(shared.groupBy("m", "s").agg(F.count("*").alias("n"), F.min(F.struct("k", "start", "size")).alias("at")))
-    crowd = each.groupBy("m").agg(F.count("*").alias("d")).where("d > 1")
+    crowd = written(each.groupBy("m").agg(F.count("*").alias("d")).where("d > 1"))
     fetch = each.join(crowd, "m").select(F.col("at.k").alias("k"), F.struct(F.col("at.start").alias("start"), F.col("at.size").alias("size"), "m", "s", F.ceil(F.col("d") / rule.most).cast("int").alias("shards")).alias("x"))
     asked = fetch.groupBy("k").agg(F.collect_list("x").alias("x"))  # the blocks of one text
     texts = docs.select(F.unhex(row_key(id_col, text_col)).alias("k"), F.col(text_col).alias("_t")).join(asked, "k")
