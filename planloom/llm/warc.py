@@ -92,7 +92,8 @@ def write_archives(pages: DataFrame, folder: str | None = None, least: int = 100
     # rows too small to be copies get keys of their own, so that no key gathers them
     key = F.when(F.col("bytes") >= least, F.col("digest")).otherwise(F.concat(F.lit("-"), F.coalesce(F.col("page_id").cast("string"), F.col("digest"))))
     rows = rows.withColumn("key", key)
-    tops = rows.where(F.col("bytes") >= least).groupBy("key").agg(F.max("page_id").alias("top"), F.count("*").alias("n")).where("n > 1").select("key", "top")
+    # written, so that the join deals both sides itself and can split a payload that very many pages share
+    tops = written(rows.where(F.col("bytes") >= least).groupBy("key").agg(F.max("page_id").alias("top"), F.count("*").alias("n")).where("n > 1").select("key", "top"))
     typed = rows.join(tops, "key", "left").select("page_id", "url", "html", "digest", F.when(F.col("top").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("top")), F.col("top")).alias("refers_to"))
 
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
