@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -106,11 +108,15 @@ def fit(docs: DataFrame, cfg: Settings, learn_from: Column, id_col: str = "doc_i
     if not n:
         return Model(idf, np.zeros((0, dims), np.float32), [], np.zeros(0))
     langs = sorted(r["lang"] for r in known.select("lang").distinct().collect())
+    # of each language the ids whose hashes come first; only then their texts
+    ids = [known.where(F.col("lang") == x).select("k", "lang").distinct().orderBy(F.xxhash64("k"), "k").limit(cfg.sample) for x in langs]
+    chosen = reduce(DataFrame.unionByName, ids)  # at most cfg.sample rows a language
+    part = known.join(F.broadcast(chosen), ["k", "lang"]).select("lang", "k", "_t").toArrow().combine_chunks()
+    part = part.sort_by([("lang", "ascending"), ("k", "ascending")])
     centroids, names, floors = [], [], []
     for lang in langs:
-        # of the language's ids those whose hashes come first; only then their texts
-        part = known.where(F.col("lang") == lang).select("_t", F.xxhash64("k").alias("h"), "k").orderBy("h", "k").limit(cfg.sample).select("_t").toArrow()
-        x = np.concatenate([tfidf(tf_vectors(texts_of(b, "_t"), cfg)[0], idf) for b in packs(part.combine_chunks().to_batches(), "_t", rows=256)])
+        mine = part.filter(pc.equal(part["lang"], lang)).combine_chunks()
+        x = np.concatenate([tfidf(tf_vectors(texts_of(b, "_t"), cfg)[0], idf) for b in packs(mine.to_batches(), "_t", rows=256)])
         c = cluster(x, cfg.centroids, cfg.rounds)
         centroids.append(c)
         names += [lang] * len(c)
