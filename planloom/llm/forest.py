@@ -126,12 +126,13 @@ def likely(g: pa.Table, cfg: Forest) -> np.ndarray:
     return pairs
 
 
-def linked(g: pa.Table, cfg: Forest) -> np.ndarray:
-    """Which of the likely pairs have shingle sets with Jaccard similarity of at least the threshold."""
-    pairs = likely(g, cfg)
-    sets = [np.frombuffer(x, np.uint64) for x in g["shingles"].to_pylist()]
-    size = np.array([len(x) for x in sets])
-    who = np.repeat(np.arange(len(sets)), size)
+#: Shingles that are compared at once; larger groups (of very long texts) go part by part.
+MOST_SHINGLES = 4_000_000
+
+
+def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each two sets share."""
+    who = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
     ids, at, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     shared = np.flatnonzero(n > 1)  # only these can be in two sets
     place = np.full(len(ids), -1)
@@ -146,6 +147,21 @@ def linked(g: pa.Table, cfg: Forest) -> np.ndarray:
         m = np.zeros((len(sets), min(4096, len(shared) - lo)), np.float32)
         m[who[a:b], at[a:b] - lo] = 1
         both += m @ m.T
+    return both
+
+
+def linked(g: pa.Table, cfg: Forest) -> np.ndarray:
+    """Which of the likely pairs have shingle sets with Jaccard similarity of at least the threshold."""
+    pairs = likely(g, cfg)
+    sets = [np.frombuffer(x, np.uint64) for x in g["shingles"].to_pylist()]
+    size = np.array([len(x) for x in sets])
+    parts = [p for p in np.split(np.arange(len(sets)), np.flatnonzero(np.diff(np.cumsum(size) // max(1, MOST_SHINGLES // 2))) + 1) if len(p)]
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    for k, p in enumerate(parts):
+        for q in parts[k:]:
+            if pairs[np.ix_(p, q)].any():
+                m = shared_counts([sets[x] for x in (p if p is q else np.concatenate([p, q]))])[: len(p), -len(q) :]
+                both[np.ix_(p, q)], both[np.ix_(q, p)] = m, m.T
     union = size[:, None] + size[None, :] - both
     return pairs & (both >= cfg.threshold * union - 1e-6 * union)
 

@@ -90,6 +90,22 @@ def test_copy_groups(make_docs, copies, block):
     assert got == plain_groups(copies)
 
 
+def test_parts_of_a_group_are_compared_too(monkeypatch):
+    r = np.random.default_rng(0)
+    base = r.integers(0, 2**63, 300).astype(np.uint64)
+    sets = [np.unique(np.concatenate([base[: 300 - 3 * k], r.integers(0, 2**63, 5).astype(np.uint64)])) for k in range(12)]
+    cfg = forest.Forest()
+    sig = [forest.signatures(x, np.array([0, len(x)]), cfg)[0].tobytes() for x in sets]
+    n = len(sets)
+    g = pa.table({"t": [0] * n, "p": [0] * n, "i": [0] * n, "j": [0] * n, "block": [0] * n, "sig": pa.array(sig, pa.binary()), "shingles": pa.array([x.tobytes() for x in sets], pa.binary())})
+    whole = forest.linked(g, cfg)
+    want = [[a != b and len(np.intersect1d(x, y)) >= 0.8 * len(np.union1d(x, y)) for b, y in enumerate(sets)] for a, x in enumerate(sets)]
+    assert (whole == (np.array(want) & forest.likely(g, cfg))).all() and whole.any()
+    for most in (100, 700, 2000):
+        monkeypatch.setattr(forest, "MOST_SHINGLES", most)
+        assert (forest.linked(g, cfg) == whole).all()
+
+
 def test_one_of_each_group_stays(make_docs, copies):
     kept = sorted(r["doc_id"] for r in rows(forest.without_copies(make_docs(copies))))
     assert kept == sorted({g for g, _ in plain_groups(copies).values()})
