@@ -394,12 +394,13 @@ def sampled_segmentations(
     draw: n_pieces, log_prob, perturbed, inclusion, ids_sha256 (of the ids as little-endian int32)
     and, with_ids, the ids; and round_trip, whether every sample decodes to the text again.
 
-    Samples are distinct; there are fewer than k only if the text has fewer segmentations, and then
+    A kept column with one of these names gives way to it. Samples are distinct; there are fewer than k only if the text has fewer segmentations, and then
     each inclusion score is 1. Null and empty texts have one sample, the empty one. Repeated rows
     (equal keys) draw equal samples. Text is taken as the model's identity normaliser takes it, with
     the space before it; a literal U+2581 reads as a space.
     """
-    keep = [id_col] if keep is None else keep
+    made = ("n_pieces", "log_prob", "perturbed", "inclusion", "ids_sha256", "round_trip", "ids")
+    keep = [id_col] if keep is None else [c for c in keep if c not in made]
     base = docs.select(*[F.col(c) for c in keep], F.col(id_col).cast("string").alias("_k"), F.col(text_col).alias("_t"))
     extra = [("n_pieces", "array<int>"), ("log_prob", "array<double>"), ("perturbed", "array<double>"), ("inclusion", "array<double>"), ("ids_sha256", "array<string>"), ("round_trip", "boolean")]
     extra += [("ids", "array<array<int>>")] if with_ids else []
@@ -407,7 +408,7 @@ def sampled_segmentations(
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pieces(model_path)
-        for b in packs(batches, "_t", 1 << 21):
+        for b in packs(batches, "_t"):
             texts = texts_of(b, "_t")
             lat, found = sample_pack(model, texts, text_keys(col(b, "_k").to_pylist(), seed), k)
             got = {n: [] for n, _ in extra}

@@ -17,7 +17,7 @@ from .common import col, mix64, packs, texts_of
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 #: Words that say nothing beyond their form are told by these instead of their own hash.
 SAME_AS_LAST, SHOUTED, LOWER, CAPITAL, NUMBER, MARK, MIXED = range(1, 8)
-MOST_CACHED = 400_000
+MOST_CACHED = 200_000
 
 
 @dataclass(frozen=True)

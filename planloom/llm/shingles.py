@@ -9,7 +9,7 @@ import numpy as np
 from .common import mix64
 
 SIZE = 5
-MOST_CACHED = 400_000
+MOST_CACHED = 200_000
 
 
 class Shingler:
