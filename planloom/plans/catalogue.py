@@ -273,6 +273,7 @@ def median_refine(spark, d):
     return near.where(F.abs(F.col("o_totalprice") - F.col("o")) < 1500).groupBy("s_suppkey").agg(F.count("*").alias("near"), F.median("o_totalprice").alias("refined"))
 
 
+#: Of the queries whose SQL thins its input by an id, the ones named *_whole take every row.
 ANGLES = [(k, math.cos(math.radians(k * 0.5)), math.sin(math.radians(k * 0.5))) for k in range(180)]
 
 
@@ -282,11 +283,20 @@ b AS (SELECT angle, 0 AS axis, CAST(floor((x * c + z * s) / 0.5) AS BIGINT) AS b
 h AS (SELECT angle, axis, bin, count(*) AS n FROM b GROUP BY ALL), t AS (SELECT angle, CAST(sum(n * n) AS BIGINT) AS score FROM h GROUP BY angle)
 SELECT angle, score FROM t ORDER BY score DESC, angle LIMIT 1""")
 def manhattan_angle(spark, d):
-    p = table(spark, d, "lineitem").where("l_orderkey % 50 = 0").select((F.col("l_extendedprice") / 1000).alias("x"), F.col("l_quantity").alias("z"))
+    return best_of(spark, table(spark, d, "lineitem").where("l_orderkey % 50 = 0"))
+
+
+def best_of(spark, t):
+    p = t.select((F.col("l_extendedprice") / 1000).alias("x"), F.col("l_quantity").alias("z"))
     angles = spark.createDataFrame(ANGLES, "angle int, c double, s double")
     return hist.best_angle(hist.angle_scores(p, [], angles, 0.5), [])
 
 
+@query(ORACLES["manhattan_angle"].replace(" WHERE l_orderkey % 50 = 0", ""))
+def manhattan_angle_whole(spark, d):
+    return best_of(spark, table(spark, d, "lineitem"))
+
+
 RUNS = f"""{CAMERA}, bins AS (SELECT DISTINCT user_id, CAST(floor(x / 0.5) AS BIGINT) AS bin FROM camera),
 brk AS (SELECT *, CASE WHEN coalesce(bin - lag(bin) OVER w > 3, true) THEN 1 ELSE 0 END AS b FROM bins WINDOW w AS (PARTITION BY user_id ORDER BY bin)),
 num AS (SELECT *, CAST(sum(b) OVER (PARTITION BY user_id ORDER BY bin ROWS UNBOUNDED PRECEDING) AS BIGINT) AS run FROM brk),
