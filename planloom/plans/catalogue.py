@@ -465,8 +465,8 @@ nodes AS (SELECT s_suppkey, p_partkey, u, v, CASE WHEN dv <= 0.05 AND dh <= 0.05
 WHERE (dv <= 0.05 AND dh <= 0.05) OR (dv <= 0.05 AND dh <= 1.0) OR (dh <= 0.05 AND dv <= 1.0))"""
 
 
-def nodes(spark, d):
-    h = table(spark, d, "part").where("p_partkey % 20 = 0").select("p_partkey", F.col("p_size").cast("double").alias("v"), F.col("p_retailprice").alias("u0"), (F.col("p_retailprice") + 3).alias("u1"))
+def nodes(spark, d, which="p_partkey % 20 = 0"):
+    h = table(spark, d, "part").where(which).select("p_partkey", F.col("p_size").cast("double").alias("v"), F.col("p_retailprice").alias("u0"), (F.col("p_retailprice") + 3).alias("u1"))
     reach = h.withColumn("lo", F.col("u0") - 1.0).withColumn("hi", F.col("u1") + 1.0)
     p = joins.range_join(wall_lines(spark, d), reach, [], "off", "lo", "hi", 5)
     zero = F.lit(0.0)
@@ -481,33 +481,58 @@ def node_candidates(spark, d):
     return nodes(spark, d)
 
 
+def whole(sql):
+    return sql.replace(" WHERE p_partkey % 20 = 0", "")
+
+
+@query(whole(ORACLES["node_candidates"]))
+def node_candidates_whole(spark, d):
+    return nodes(spark, d, "true")
+
+
 EDGES = NODES + """, on_line AS (SELECT DISTINCT s_suppkey, u, v FROM nodes), edges AS (SELECT s_suppkey, v AS va, lead(v) OVER (PARTITION BY s_suppkey ORDER BY v) AS vb FROM on_line)"""
 
 
-def line_edges(spark, d):
+def line_edges(spark, d, which="p_partkey % 20 = 0"):
     from pyspark.sql import Window
 
-    on = nodes(spark, d).select("s_suppkey", "u", "v").distinct()
+    on = nodes(spark, d, which).select("s_suppkey", "u", "v").distinct()
     return on.select("s_suppkey", F.col("v").alias("va"), F.lead("v").over(Window.partitionBy("s_suppkey").orderBy("v")).alias("vb"))
 
 
 @query(f"WITH {EDGES} SELECT s_suppkey, va, vb, vb - va AS length FROM edges WHERE vb - va > 1e-9")
 def edge_between_nodes(spark, d):
-    e = line_edges(spark, d).withColumn("length", F.col("vb") - F.col("va"))
-    return e.where("length > 1e-9")
+    return long_edges(line_edges(spark, d))
+
+
+def long_edges(e):
+    return e.withColumn("length", F.col("vb") - F.col("va")).where("length > 1e-9")
+
+
+@query(whole(ORACLES["edge_between_nodes"]))
+def edge_between_nodes_whole(spark, d):
+    return long_edges(line_edges(spark, d, "true"))
 
 
 @query(f"""WITH {EDGES}, ends AS (SELECT s_suppkey, va AS v FROM edges WHERE vb IS NOT NULL UNION ALL SELECT s_suppkey, vb FROM edges WHERE vb IS NOT NULL),
 deg AS (SELECT n.s_suppkey, n.v, count(e.v) AS d FROM on_line n LEFT JOIN ends e ON e.s_suppkey = n.s_suppkey AND e.v = n.v GROUP BY 1, 2)
 SELECT count(*) FILTER (WHERE d <= 1) AS dangling, count(*) FILTER (WHERE d = 2) AS l, count(*) FILTER (WHERE d = 3) AS t, count(*) FILTER (WHERE d > 3) AS "cross" FROM deg""")
 def node_types(spark, d):
-    e = line_edges(spark, d)
+    return type_counts(line_edges(spark, d))
+
+
+def type_counts(e):
     full = e.where("vb is not null")
     ends = full.select("s_suppkey", F.col("va").alias("v")).unionByName(full.select("s_suppkey", F.col("vb").alias("v"))).groupBy("s_suppkey", "v").agg(F.count("*").alias("d"))
     deg = e.select("s_suppkey", F.col("va").alias("v")).join(ends, ["s_suppkey", "v"], "left").select(F.coalesce("d", F.lit(0)).alias("d"))
     return deg.agg(F.count_if(F.col("d") <= 1).alias("dangling"), F.count_if(F.col("d") == 2).alias("l"), F.count_if(F.col("d") == 3).alias("t"), F.count_if(F.col("d") > 3).alias("cross"))
 
 
+@query(whole(ORACLES["node_types"]))
+def node_types_whole(spark, d):
+    return type_counts(line_edges(spark, d, "true"))
+
+
 @query("""SELECT a.p_type, a.p_partkey AS p_partkey_a, b.p_partkey AS p_partkey_b, a.p_retailprice AS p_retailprice_a, b.p_retailprice AS p_retailprice_b, a.p_brand AS p_brand_a, b.p_brand AS p_brand_b
 FROM part a JOIN part b ON a.p_type = b.p_type AND a.p_partkey < b.p_partkey AND a.p_brand <> b.p_brand AND abs(a.p_retailprice - b.p_retailprice) <= 0.06""")
 def opening_pairs(spark, d):

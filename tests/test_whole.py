@@ -21,3 +21,28 @@ def test_angle_over_every_point(spark, data):
         scores.append((sum(n * n for b in bins for n in Counter(b.tolist()).values()), -k))
     score, k = max(scores)
     assert [tuple(r) for r in QUERIES["manhattan_angle_whole"](spark, data).collect()] == [(-k, score)]
+
+
+def crossings(data):
+    walls = [(k, float(900 + k % 100 + 0.37), n * 2.0, n * 2.0 + 10) for k, n in read(data, "SELECT s_suppkey, s_nationkey FROM '$/supplier.parquet'")]
+    out = {}
+    for p, size, price in read(data, "SELECT p_partkey, p_size, p_retailprice FROM '$/part.parquet'"):
+        for k, off, a, b in walls:
+            dv, dh = max(0.0, a - size, size - b), max(0.0, price - off, off - (price + 3))
+            if min(dv, dh) <= 0.05 and max(dv, dh) <= 1.0:
+                out[k, p] = float(size), "inside" if max(dv, dh) <= 0.05 else "extend_horizontal" if dv <= 0.05 else "extend_vertical"
+    return out
+
+
+def test_nodes_of_every_part(spark, data):
+    want = crossings(data)
+    got = {(r["s_suppkey"], r["p_partkey"]): (r["v"], r["kind"]) for r in QUERIES["node_candidates_whole"](spark, data).collect()}
+    assert any(p % 20 for _, p in want) and got == want
+    lines = {}
+    for (k, _), (v, _) in want.items():
+        lines.setdefault(k, set()).add(v)
+    edges = {(k, a, b) for k, vs in lines.items() for a, b in zip(sorted(vs), sorted(vs)[1:])}
+    assert {(r["s_suppkey"], r["va"], r["vb"]) for r in QUERIES["edge_between_nodes_whole"](spark, data).collect()} == edges
+    degrees = Counter(sum((k, v) in ((e[0], e[1]), (e[0], e[2])) for e in edges) for k, vs in lines.items() for v in vs)
+    (r,) = QUERIES["node_types_whole"](spark, data).collect()
+    assert tuple(r) == (degrees[0] + degrees[1], degrees[2], degrees[3], sum(n for d, n in degrees.items() if d > 3))
