@@ -685,14 +685,23 @@ def measure_interval_check(spark, d):
 t AS (SELECT wall, provenance, CAST(sum(length) AS BIGINT) AS total FROM p GROUP BY 1, 2)
 SELECT wall, provenance, total FROM t QUALIFY row_number() OVER (PARTITION BY wall ORDER BY total DESC, CASE provenance WHEN 'observed' THEN 0 WHEN 'inferred_extension' THEN 1 WHEN 'inferred_occluded' THEN 2 ELSE 3 END) = 1""")
 def dominant_provenance(spark, d):
+    return dominant_of(table(spark, d, "lineitem").where("l_orderkey % 40 = 0"))
+
+
+def dominant_of(t):
     names = {0: "observed", 1: "inferred_extension", 2: "inferred_occluded"}
     prov = F.lit("inferred_dropout")
     for k, v in names.items():
         prov = F.when(F.col("l_linenumber") % 4 == k, v).otherwise(prov)
-    p = table(spark, d, "lineitem").where("l_orderkey % 40 = 0").select(F.col("l_suppkey").alias("wall"), prov.alias("provenance"), F.expr("cast(l_quantity as bigint) div 10").alias("length"))
+    p = t.select(F.col("l_suppkey").alias("wall"), prov.alias("provenance"), F.expr("cast(l_quantity as bigint) div 10").alias("length"))
     return rules.dominant_provenance(p, ["wall"])
 
 
+@query(ORACLES["dominant_provenance"].replace(" WHERE l_orderkey % 40 = 0", ""))
+def dominant_provenance_whole(spark, d):
+    return dominant_of(table(spark, d, "lineitem"))
+
+
 @query("""SELECT o_custkey % 100 AS room, CAST(sum(CASE WHEN o_orderstatus = 'O' THEN o_orderkey % 100 ELSE 0 END) AS BIGINT) / CAST(sum(o_orderkey % 100) AS BIGINT) AS observed_frac FROM orders GROUP BY 1""")
 def perimeter_observed_share(spark, d):
     o, n = table(spark, d, "orders"), F.col("o_orderkey") % 100

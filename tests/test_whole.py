@@ -46,3 +46,14 @@ def test_nodes_of_every_part(spark, data):
     degrees = Counter(sum((k, v) in ((e[0], e[1]), (e[0], e[2])) for e in edges) for k, vs in lines.items() for v in vs)
     (r,) = QUERIES["node_types_whole"](spark, data).collect()
     assert tuple(r) == (degrees[0] + degrees[1], degrees[2], degrees[3], sum(n for d, n in degrees.items() if d > 3))
+
+
+def test_provenance_of_every_piece(spark, data):
+    names, total = ("observed", "inferred_extension", "inferred_occluded", "inferred_dropout"), Counter()
+    for wall, line, quantity in read(data, "SELECT l_suppkey, l_linenumber, l_quantity FROM '$/lineitem.parquet'"):
+        total[wall, line % 4] += int(quantity) // 10
+    want = {}
+    for (wall, k), n in total.items():
+        want[wall] = max(want.get(wall, (-1, 0)), (n, -k))
+    got = {r["wall"]: (r["total"], r["provenance"]) for r in QUERIES["dominant_provenance_whole"](spark, data).collect()}
+    assert got == {wall: (n, names[-k]) for wall, (n, k) in want.items()}
