@@ -127,12 +127,23 @@ SELECT user_id, count(*) AS n, count(*) FILTER (WHERE hit) AS inside, count(*) F
 FROM (SELECT user_id, EXISTS (SELECT 1 FROM marks m WHERE abs(m.i - s.i) <= 1 AND abs(m.j - s.j) <= 1) AS hit FROM seen s) GROUP BY user_id""")
 def camera_inside_share(spark, d):
     c = camera(spark, d).withColumn("i", grid.cell("x", 25)).withColumn("j", grid.cell("z", 10))
-    marks = grid.occupied(c.where("user_id % 7 = 0 AND x > 30"), "i", "j")
+    return inside_share(c, grid.occupied(c.where("user_id % 7 = 0 AND x > 30"), "i", "j"))
+
+
+def inside_share(c, marks):
     hit = grid.near(grid.occupied(c, "i", "j"), marks, []).withColumn("hit", F.lit(1))
     out = c.join(hit, ["i", "j"], "left").groupBy("user_id").agg(F.count("*").alias("n"), F.count("hit").alias("inside"))
     return out.withColumn("share", F.col("inside") / F.col("n"))
 
 
+@query(ORACLES["camera_inside_share"].replace(EVIDENCE, "marks AS (SELECT DISTINCT CAST(floor(l_extendedprice / 25000.0) AS BIGINT) AS i, CAST(floor(l_quantity / 10.0) AS BIGINT) AS j FROM lineitem)"))
+def camera_inside_share_whole(spark, d):
+    """The evidence is every lineitem point, its price in thousands."""
+    c = camera(spark, d).withColumn("i", grid.cell("x", 25)).withColumn("j", grid.cell("z", 10))
+    points = table(spark, d, "lineitem").select(grid.cell("l_extendedprice", 25000).alias("i"), grid.cell("l_quantity", 10).alias("j"))
+    return inside_share(c, grid.occupied(points, "i", "j"))
+
+
 @query(f"""WITH {CELLS} SELECT CAST(floor(i / 5.0) AS BIGINT) AS bi, CAST(floor(j / 5.0) AS BIGINT) AS bj, count(*) AS cells, count(*) >= 20 AS dense
 FROM cells WHERE support < 8 GROUP BY 1, 2""")
 def dense_blobs(spark, d):
@@ -427,10 +438,25 @@ def nearest_plane_assign(spark, d):
 SELECT p.vec_id, q.vec_id AS camera, (p.a - q.a) * (p.a - q.a) + (p.b - q.b) * (p.b - q.b) + (p.c - q.c) * (p.c - q.c) AS d2 FROM e p JOIN e q ON q.vec_id % 10 = 0
 QUALIFY row_number() OVER (PARTITION BY p.vec_id ORDER BY (p.a - q.a) * (p.a - q.a) + (p.b - q.b) * (p.b - q.b) + (p.c - q.c) * (p.c - q.c), q.vec_id) = 1""")
 def nearest_camera(spark, d):
-    e = table(spark, d, "embeddings").select("vec_id", *[F.col("embedding")[k].cast("double").alias(c) for k, c in enumerate("abc")])
-    q = e.where("vec_id % 10 = 0").select(F.col("vec_id").alias("camera"), *[F.col(c).alias(f"q{c}") for c in "abc"])
+    e = vectors(spark, d)
+    return nearest_of(e, e.where("vec_id % 10 = 0"))
+
+
+@query(ORACLES["nearest_camera"].replace("q.vec_id % 10 = 0", "q.vec_id <> p.vec_id"))
+def nearest_camera_whole(spark, d):
+    """The nearest of all other points."""
+    e = vectors(spark, d)
+    return nearest_of(e, e, F.col("vec_id") != F.col("camera"))
+
+
+def vectors(spark, d):
+    return table(spark, d, "embeddings").select("vec_id", *[F.col("embedding")[k].cast("double").alias(c) for k, c in enumerate("abc")])
+
+
+def nearest_of(e, targets, only=None):
+    q = targets.select(F.col("vec_id").alias("camera"), *[F.col(c).alias(f"q{c}") for c in "abc"])
     diff = [(F.col(c) - F.col(f"q{c}")) * (F.col(c) - F.col(f"q{c}")) for c in "abc"]
-    return joins.nearest_point(e, q, "vec_id", "camera", diff[0] + diff[1] + diff[2])
+    return joins.nearest_point(e, q, "vec_id", "camera", diff[0] + diff[1] + diff[2], only=only)
 
 
 @query(f"""WITH {CAMERA} SELECT s_suppkey, count(*) AS cells FROM supplier JOIN camera ON abs(x - s_acctbal / 20.0) < 2 AND z >= s_nationkey * 2 - 0.2 AND z <= s_nationkey * 2 + 20.2

@@ -10,7 +10,7 @@ from planloom.plans.catalogue import QUERIES
 
 
 def read(data, sql):
-    return duckdb.connect().execute(sql.replace("$", data)).fetchall()
+    return duckdb.connect().execute(sql.replace("$/", f"{data}/")).fetchall()
 
 
 def test_angle_over_every_point(spark, data):
@@ -57,3 +57,22 @@ def test_provenance_of_every_piece(spark, data):
         want[wall] = max(want.get(wall, (-1, 0)), (n, -k))
     got = {r["wall"]: (r["total"], r["provenance"]) for r in QUERIES["dominant_provenance_whole"](spark, data).collect()}
     assert got == {wall: (n, names[-k]) for wall, (n, k) in want.items()}
+
+
+def test_nearest_of_every_vector(spark, data):
+    e = read(data, "SELECT vec_id, embedding[1]::DOUBLE, embedding[2]::DOUBLE, embedding[3]::DOUBLE FROM '$/embeddings.parquet'")
+    want = {p: min(((a - x) * (a - x) + (b - y) * (b - y) + (c - z) * (c - z), q) for q, x, y, z in e if q != p) for p, a, b, c in e}
+    got = {r["vec_id"]: (r["d2"], r["camera"]) for r in QUERIES["nearest_camera_whole"](spark, data).collect()}
+    assert any(q % 10 for _, q in want.values()) and got == want
+
+
+def test_inside_share_by_all_evidence(spark, data):
+    marks = {(int(x // 25000), int(z // 10)) for x, z in read(data, "SELECT l_extendedprice, l_quantity FROM '$/lineitem.parquet'")}
+    near = {(i + a, j + b) for i, j in marks for a in (-1, 0, 1) for b in (-1, 0, 1)}
+    n, inside = Counter(), Counter()
+    for user, x, z in read(data, "SELECT user_id, value, json_extract_string(props, '$.k')::DOUBLE FROM '$/events.parquet'"):
+        n[user] += 1
+        inside[user] += (int(x // 25), int(z // 10)) in near
+    assert 0 < sum(inside.values()) < sum(n.values())
+    got = {r["user_id"]: (r["n"], r["inside"]) for r in QUERIES["camera_inside_share_whole"](spark, data).collect()}
+    assert got == {u: (n[u], inside[u]) for u in n}
