@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -214,7 +215,7 @@ def address_edits(low: str) -> list[tuple[int, int, str]]:
 
 
 def disguised_spans(t: str, base: list[Span]) -> list[Span]:
-    """Identifiers that show only after normalisation and touch no base span."""
+    """Identifiers that show only after normalisation: all but those within a base span of their kind."""
     tape, changed = Tape.__new__(Tape), False
     tape.text = t
     if not t.isascii():
@@ -240,13 +241,12 @@ def disguised_spans(t: str, base: list[Span]) -> list[Span]:
         changed = True
     if not changed:
         return []
-    taken = sorted((a, b) for _, a, b in base)
-    starts = [a for a, _ in taken]
+    taken = {kind: sorted((a, b) for k, a, b in base if k == kind) for kind in KINDS}
     out = []
     for kind, a, b in base_spans(tape.text):
         lo, hi = int(tape.lo[a]), int(tape.hi[b - 1])
-        i = int(np.searchsorted(starts, hi)) if starts else 0
-        if not any(x < hi and lo < y for x, y in taken[max(0, i - 3) : i]):
+        i = bisect_right(taken[kind], (lo, len(t)))  # spans of a kind lie apart, so the last one that begins by lo decides
+        if not (i and hi <= taken[kind][i - 1][1]):
             out.append((kind, lo, hi))
     return out
 

@@ -112,6 +112,22 @@ def test_disguises(text, found):
     assert [(k, text[a:b]) for k, a, b in base + more] == found
 
 
+@pytest.mark.parametrize(
+    "text, base, more, masked",
+    [
+        ("to jоhn@example.com now", ["hn@example.com"], ["jоhn@example.com"], "to <email> now"),
+        ("to john@exаmple.com now", [], ["john@exаmple.com"], "to <email> now"),
+        ("+49 170 1234 five six seven ok", ["+49 170 1234"], ["+49 170 1234 five six seven"], "<phone> ok"),
+        ("a@b.co dot uk, 10.0.0.1 one two three", ["a@b.co", "10.0.0.1"], ["a@b.co dot uk"], "<email>, <ip> one two three"),
+        ("é a@b.co и c@d.co", ["a@b.co", "c@d.co"], [], "é <email> и <email>"),
+    ],
+)
+def test_identifiers_longer_than_their_base_span(text, base, more, masked):
+    found = pii.find(text)
+    assert [[text[a:b] for _, a, b in spans] for spans in found] == [base, more]
+    assert pii.mask(text) == masked
+
+
 def test_pii_query(make_docs):
     texts = ["a@b.co 10.0.0.1", "", None, "é a@b.co and john at example dot com"]
     got = {r["doc_id"]: r for r in rows(pii.pii_spans(make_docs(texts)))}
