@@ -46,11 +46,40 @@ NAMES = [
 AT, DOT, PLUS = ("at", "arroba", "chez"), ("dot", "punkt", "point", "punto"), ("plus", "más")
 # Last labels that make a spelled-out address (without brackets) believable.
 TOP_LABELS = frozenset("com org net edu gov mil int info biz io co us uk eu de fr es it nl ch at be pt mx ar cl test example invalid".split())
+# All country labels, and general ones; with them an address needs a spelled dot.
+MORE_LABELS = frozenset(
+    """ac ad ae af ag ai al am ao aq ar as at au aw ax az ba bb bd be bf bg bh bi bj bm bn bo br bs bt bv bw by bz ca cc cd cf cg ch ci ck cl cm cn co cr
+    cu cv cw cx cy cz de dj dk dm do dz ec ee eg er es et eu fi fj fk fm fo fr ga gb gd ge gf gg gh gi gl gm gn gp gq gr gs gt gu gw gy hk hm hn hr ht hu id ie
+    il im in io iq ir is it je jm jo jp ke kg kh ki km kn kp kr kw ky kz la lb lc li lk lr ls lt lu lv ly ma mc md me mg mh mk ml mm mn mo mp mq mr ms mt mu mv
+    mw mx my mz na nc ne nf ng ni nl no np nr nu nz om pa pe pf pg ph pk pl pm pn pr ps pt pw py qa re ro rs ru rw sa sb sc sd se sg sh si sj sk sl sm sn so sr
+    ss st su sv sx sy sz tc td tf tg th tj tk tl tm tn to tr tt tv tw tz ua ug uk us uy uz va vc ve vg vi vn vu wf ws ye yt za zm zw
+    academy agency app art asia auto bank bar berlin bike bio blog boston boutique build business cafe capital care cash cat center chat church city
+    claims clinic cloud club coach codes coffee college community company computer consulting cool coop credit dance data date deals delivery dental design dev
+    digital direct directory doctor dog domains download earth education email energy engineer engineering enterprises estate events exchange expert express
+    family farm fashion finance financial fit foundation fun fund fyi gallery game games garden gent gift global gmbh google gratis green group guide guru hamburg
+    haus health healthcare help holdings holiday homes hospital host hotel house immo inc industries ink institute insurance international investments jobs
+    koeln kitchen land law lawyer legal life limited link live llc loan lol london love ltd ltda madrid management market marketing mba media medical men mobi
+    moe money movie museum name network news nexus ngo ninja nyc one onl online ong page paris partners parts party pharmacy photo photography photos pics pictures
+    pizza place plus post press pro productions properties pub quebec radio rent repair report republican restaurant reviews rocks run saarland sale salon sarl
+    school schule science scot security services shop shopping show site ski social software solar solutions space sport store stream studio style supply support
+    surf swiss systems tax taxi team tech technology tel tennis theater tickets tips tirol today tokyo tools top tours town toys trade training travel tube
+    university vegas ventures versicherung vet video villas vip vision vote voyage wales wang watch web website wedding wien wiki win wine work works world wtf xxx
+    xyz yoga zone localhost local onion""".split()
+)
+# Of those labels, the ones that are everyday words and may follow "at ... point"; and words that no spelled-out domain begins with.
+LABEL_WORDS = frozenset("""ad ai al am as au ca ce do et ga il im in is je la li lu ma me mu my na ne ni no nu pa pm re sa se si so st su to tu va vu art bank bar care cash cat
+    center city club date deals direct doctor dog energy events family farm finance fit fun fund game games garden gift green group guide health help home house
+    land law legal life limited link live loan love management market media men money movie name network news one online page parts party place plus post press
+    radio rent repair report run sale school science security show site social space sport store support tax team today tools top town trade training video
+    vision vote watch web win work works world zone local""".split())
+DETERMINERS = frozenset("""the this that these those a an any some every each which what no one my your his her its our their der die das dem den dieser diesem
+    ein einem einer le la les ce cet cette un une quel tout el los las este ese aquel lui eux elle nous vous moi toi""".split())
 _bracketed = lambda words: rf"\s{{0,3}}[\[({{<]\s{{0,3}}(?:{'|'.join(words)})\s{{0,3}}[\])}}>]\s{{0,3}}"
 BRACKET_AT = re.compile(r"(?<=[a-z0-9])" + _bracketed((*AT, "@")) + r"(?=[a-z0-9])")
 BRACKET_DOT = re.compile(r"(?<=[a-z0-9])" + _bracketed((*DOT, r"\.")) + r"(?=[a-z0-9])")
 PLAIN = re.compile(rf"(?<![a-z0-9._%+-])[a-z0-9_%+-]++(?:\s+(?:{'|'.join(DOT)})\s+[a-z0-9_%+-]++|\.[a-z0-9_%+-]++)*(\s+(?:{'|'.join(AT)})\s+|@)[a-z0-9-]++((?:\s+(?:{'|'.join(DOT)})\s+|\.)[a-z0-9-]++)+")
 PLAIN_DOT = re.compile(rf"\s+(?:{'|'.join(DOT)})\s+")
+BRACKET_MARK = re.compile(r"[\[({<]\s{0,3}[@.]\s{0,3}[\])}>]")
 
 
 def emails(t: str) -> list[Span]:
@@ -199,12 +228,25 @@ def digit_edits(low: str, words: list[tuple[int, int, str]]) -> list[tuple[int,
     return edits
 
 
+def believable(m: re.Match) -> bool:
+    """Whether a match of PLAIN is an address: by its last label, and for labels beyond TOP_LABELS by
+    a spelled dot and words that hardly stand in a sentence like "at this point in"."""
+    at = m.end(1) - m.start()
+    dots, domain = PLAIN_DOT.findall(m[0], at), re.split(r"[\s.]+", m[0][at:])
+    last = domain[-1]
+    if last in TOP_LABELS:
+        return bool(dots) or m[1] == "@"
+    if not dots or m[1] != "@" and domain[0] in DETERMINERS:
+        return False
+    return last.startswith("xn--") or last in MORE_LABELS and (dots[-1].strip() == "dot" or last not in LABEL_WORDS)
+
+
 def address_edits(low: str) -> list[tuple[int, int, str]]:
     """Transducer of at and dot: in brackets anywhere between letters or digits; in plain words only
-    where both are spelled and the last label is a known one."""
+    where both are spelled, or the dot alone, and the last label is a known one."""
     edits = [(*m.span(), "@") for m in BRACKET_AT.finditer(low)] + [(*m.span(), ".") for m in BRACKET_DOT.finditer(low)]
     for m in PLAIN.finditer(low):
-        if re.split(r"[\s.]+", m[0])[-1] in TOP_LABELS and (PLAIN_DOT.search(m[0], m.end(1) - m.start()) or m[1] == "@"):
+        if believable(m):
             edits += [(*m.span(1), "@")] if m[1] != "@" else []
             edits += [(m.start() + x.start(), m.start() + x.end(), ".") for x in PLAIN_DOT.finditer(m[0])]
     out = []
@@ -228,7 +270,7 @@ def disguised_spans(t: str, base: list[Span]) -> list[Span]:
     words = words_in(low)
     marks = {w[2] for w in words}
     spelled = sum(w[2].isdigit() for w in words) >= 3
-    hidden = "." in marks or any(w[2] == "@" and low[max(0, w[0] - 4) : w[0]].rstrip()[-1:] in tuple("[({<") for w in words)
+    hidden = "." in marks or any(w[2] == "@" and low[max(0, w[0] - 4) : w[0]].rstrip()[-1:] in tuple("[({<") for w in words) or bool(BRACKET_MARK.search(low))
     if not changed and not spelled and not hidden:
         return []
     if not changed:

@@ -128,6 +128,24 @@ def test_identifiers_longer_than_their_base_span(text, base, more, masked):
     assert pii.mask(text) == masked
 
 
+@pytest.mark.parametrize("text", ["john [@] example [.] com", "john[@]example.com", "john(@)example{.}com", "ann @ work <.> 192[.]168[.]1[.]1"])
+def test_bracketed_marks(text):
+    base, more = pii.find(text)
+    assert base == [] and [text[a:b] for _, a, b in more] == [text[text.find("192") :] if "192" in text else text]
+
+
+@pytest.mark.parametrize("label", "dev ai jp cn ru br in au cloud app com xn--p1ai".split())
+def test_spelled_addresses_of_any_label(label):
+    text = f"write jane at acme dot {label} today"
+    assert [text[a:b] for _, a, b in pii.find(text)[1]] == [f"jane at acme dot {label}"]
+    assert pii.mask(text.replace(" at ", "@")) == "write <email> today"
+
+
+@pytest.mark.parametrize("text", ["look at the dot in the middle", "start at this point in time", "stop at boiling point in winter", "be at some point so", "look at red dot matrices", "chez nous point va"])
+def test_sentences_are_no_addresses(text):
+    assert pii.find(text) == ([], [])
+
+
 def test_pii_query(make_docs):
     texts = ["a@b.co 10.0.0.1", "", None, "é a@b.co and john at example dot com"]
     got = {r["doc_id"]: r for r in rows(pii.pii_spans(make_docs(texts)))}
