@@ -13,7 +13,8 @@ gives the same samples wherever and however often it is computed. The first chil
 drawn one by one; all later ones are one lump with their joint mass, drawn apart only if the search
 comes to it.
 
-Pieces of a BPE model have ranks, no probabilities; p is taken proportional to 1 / (rank + 2.7).
+Pieces of a BPE model have ranks, no probabilities; p is taken proportional to 1 / (rank + 2.7). The
+pieces of several spaces have no rank and weigh as much as the piece of the last rank.
 """
 
 from __future__ import annotations
@@ -43,11 +44,13 @@ class Pieces:
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         n = sp.get_piece_size()
-        normal = [i for i in range(n) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)) and (sp.get_score(i) > -1e8 or len(sp.id_to_piece(i)) == 1)]
-        ranked = sorted(normal, key=lambda i: -sp.get_score(i))
+        normal = [i for i in range(n) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
+        unranked = [i for i in normal if sp.get_score(i) <= -1e8 and len(sp.id_to_piece(i)) > 1]
+        ranked = sorted(set(normal) - set(unranked), key=lambda i: (-sp.get_score(i), i))
         weight = 1 / (np.arange(len(ranked)) + 2.7)
         self.weight = np.full(n + 1, np.nan)
         self.weight[ranked] = np.log(weight / weight.sum())
+        self.weight[unranked] = self.weight[ranked[-1]]
         self.by_byte = np.array([sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)])
         self.unknown = float(np.log(weight[-1] / weight.sum())) - 2.0  # of a character without a piece, per byte
         self.raw = [sp.id_to_piece(i).replace(chr(SPACE), " ").encode() for i in range(n)]
@@ -267,7 +270,11 @@ def sample_pack(model: Pieces, texts: list[str], keys: np.ndarray, k: int):
     chars = np.where(chars == 0x20, np.uint32(SPACE), chars)
     sizes = np.array([len(t) for t in full])
     text_end = np.cumsum(sizes)
-    start = np.flatnonzero(chars == SPACE)
+    # a word is a run of spaces and what follows it, as pieces may span several spaces
+    opens = chars == SPACE
+    opens[1:] &= chars[:-1] != SPACE
+    opens[(text_end - sizes)[sizes > 0]] = True
+    start = np.flatnonzero(opens)
     if not len(start):
         return None, [([(np.zeros(0, np.int64), 0.0, 0.0)], -np.inf) for _ in texts]
     end = np.append(start[1:], len(chars))

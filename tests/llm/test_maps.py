@@ -304,6 +304,32 @@ def test_sampling_is_without_replacement_by_probability():
         assert first[path] / n == pytest.approx(p, abs=0.015) and second[path] / n == pytest.approx(later, abs=0.015)
 
 
+@pytest.mark.parametrize("text", ["c  d", "c   d", "  c", "d  ", "a" + " " * 5, "a  b", "\t\t  x"])
+def test_runs_of_spaces_have_their_pieces(text):
+    """Every segmentation into pieces is drawn in the end, the library's own included."""
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    full = ("\u2581" + text.replace(" ", "\u2581")).replace("\t", "\0")
+    usable = {sp.id_to_piece(i) for i in range(sp.get_piece_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i))}
+
+    def splits(t):
+        if not t:
+            return [()]
+        return [(t[:n], *rest) for n in range(1, len(t) + 1) if n == 1 or t[:n] in usable for rest in splits(t[n:])]
+
+    want = set(splits(full))
+    model = lattice.pieces(MODEL)
+    # the other texts end in spaces, or are empty: no word may reach from one text into the next
+    texts = ["z  ", text, "", text + " "]
+    lat, found = lattice.sample_pack(model, texts, lattice.text_keys(list("abcd"), 0), len(want) + 5)
+    samples, kappa = found[1]
+    drawn = [tuple(lattice.ids_of(model, lat, s[0], text).tolist()) for s in samples]
+    assert len(drawn) == len(set(drawn)) == len(want) and tuple(sp.encode(text)) in drawn
+    assert kappa == -np.inf and sum(np.exp(s[1]) for s in samples) == pytest.approx(1)
+    assert all(lattice.decodes_to(model, np.array(ids), text.encode()) for ids in drawn)
+
+
 def test_fewer_segmentations_than_samples():
     model = lattice.pieces(MODEL)
     lat, ((samples, kappa),) = lattice.sample_pack(model, ["hello"], lattice.text_keys(["1"], 0), 1000)
