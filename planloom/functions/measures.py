@@ -45,3 +45,13 @@ def depth_scale(unit: Column) -> Column:
 
 def depth_millimetres(depth: Column, scale: Column) -> Column:
     return F.least(F.greatest(F.rint(depth * scale), F.lit(0.0)), F.lit(65535.0)).cast("int")
+
+
+def quadrature_half_width(a: Column, b: Column, observed: Column) -> Column:
+    """Of a length between two uncertain ends; twice that where it wasn't observed."""
+    return F.sqrt(a * a + b * b) * F.when(observed, F.lit(1.0)).otherwise(F.lit(2.0))
+
+
+def value_or(text: Column, default: float) -> Column:
+    """A number from a text column; where it is absent or blank, the default."""
+    return F.coalesce(F.nullif(F.trim(text), F.lit("")).cast("double"), F.lit(float(default)))

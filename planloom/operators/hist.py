@@ -57,13 +57,14 @@ def two_planes(peaked: DataFrame, keys: list[str], apart: int, bin_col: str = "b
 
 
 def angle_scores(points: DataFrame, keys: list[str], table: DataFrame, size: float) -> DataFrame:
-    """Per angle of table(angle, c, s) the sum over both rotated axes of squared bin counts. The table
-    has a fixed number of rows, so every point meets every angle."""
-    both = points.crossJoin(F.broadcast(table))
+    """Per angle of table(angle, c, s) the sum over both rotated axes of squared bin counts. Equal
+    points are counted first; then each place meets every angle of the table, whose rows are fixed."""
+    places = points.groupBy(*keys, "x", "z").agg(F.count("*").alias("_w"))
+    both = places.crossJoin(F.broadcast(table))
     u, v = F.col("x") * F.col("c") + F.col("z") * F.col("s"), -F.col("x") * F.col("s") + F.col("z") * F.col("c")
     axis = F.explode(F.array(F.struct(F.lit(0).alias("axis"), u.alias("w")), F.struct(F.lit(1).alias("axis"), v.alias("w"))))
-    binned = both.select(*keys, "angle", axis.alias("_a")).select(*keys, "angle", "_a.axis", F.floor(F.col("_a.w") / size).cast("long").alias("bin"))
-    counts = binned.groupBy(*keys, "angle", "axis", "bin").agg(F.count("*").alias("n"))
+    binned = both.select(*keys, "angle", "_w", axis.alias("_a")).select(*keys, "angle", "_w", "_a.axis", F.floor(F.col("_a.w") / size).cast("long").alias("bin"))
+    counts = binned.groupBy(*keys, "angle", "axis", "bin").agg(F.sum("_w").alias("n"))
     return counts.groupBy(*keys, "angle").agg(F.sum(F.col("n") * F.col("n")).alias("score"))
 
 

@@ -50,6 +50,12 @@ def sampled_frames(frames: DataFrame, keys: list[str], index: str, stride: int,
     return frames.where(F.col(index) % stride == 0).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= most).drop("_r")
 
 
+def first_rows(df: DataFrame, keys: list[str], order: list[str], most: int) -> DataFrame:
+    """The first `most` rows of each key; every task keeps so many at most before the shuffle."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    return df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= most).drop("_r")
+
+
 def crossing(s, offset):
     """Where a segment that strictly changes sides of x = offset crosses it (null if it doesn't)."""
     d0, d1 = s("x") - offset, s("x1") - offset

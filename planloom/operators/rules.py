@@ -62,6 +62,12 @@ def dominant_provenance(pieces: DataFrame, keys: list[str], length: str = "lengt
     return top.select(*keys, F.col(f"_t.{provenance}").alias(provenance), F.col("_t.total").alias("total"))
 
 
+def weighted_offset(pieces: DataFrame, keys: list[str], offset: str = "offset", length: str = "length") -> DataFrame:
+    """The length-weighted mean offset of each cluster of pieces, their number and total length."""
+    out = pieces.groupBy(*keys).agg(F.sum(F.col(offset) * F.col(length)).alias("_s"), F.count("*").alias("pieces"), F.sum(length).alias("length"))
+    return out.select(*keys, (F.col("_s") / F.col("length")).alias("offset"), "pieces", "length")
+
+
 def missing_parent(child: DataFrame, column: str, parent: DataFrame, parent_key: str, child_key: str, what: str) -> DataFrame:
     """Rows of a child table whose non-null reference has no parent, with a message."""
     found = child.where(F.col(column).isNotNull()).join(parent.select(F.col(parent_key).alias(column)), column, "left_anti")

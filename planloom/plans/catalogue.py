@@ -119,29 +119,19 @@ def free_cells(spark, d):
     return grid.occupied(camera(spark, d).select(grid.cell("x", 10).alias("i"), grid.cell("z", 5).alias("j")), "i", "j")
 
 
-EVIDENCE = "marks AS (SELECT DISTINCT CAST(floor(x / 25.0) AS BIGINT) AS i, CAST(floor(z / 10.0) AS BIGINT) AS j FROM camera WHERE user_id % 7 = 0 AND x > 30)"
+EVIDENCE = "marks AS (SELECT DISTINCT CAST(floor(l_extendedprice / 25000.0) AS BIGINT) AS i, CAST(floor(l_quantity / 10.0) AS BIGINT) AS j FROM lineitem)"
 
 
 @query(f"""WITH {CAMERA}, {EVIDENCE}, seen AS (SELECT *, CAST(floor(x / 25.0) AS BIGINT) AS i, CAST(floor(z / 10.0) AS BIGINT) AS j FROM camera)
 SELECT user_id, count(*) AS n, count(*) FILTER (WHERE hit) AS inside, count(*) FILTER (WHERE hit) / count(*) AS share
 FROM (SELECT user_id, EXISTS (SELECT 1 FROM marks m WHERE abs(m.i - s.i) <= 1 AND abs(m.j - s.j) <= 1) AS hit FROM seen s) GROUP BY user_id""")
 def camera_inside_share(spark, d):
-    c = camera(spark, d).withColumn("i", grid.cell("x", 25)).withColumn("j", grid.cell("z", 10))
-    return inside_share(c, grid.occupied(c.where("user_id % 7 = 0 AND x > 30"), "i", "j"))
-
-
-def inside_share(c, marks):
-    hit = grid.near(grid.occupied(c, "i", "j"), marks, []).withColumn("hit", F.lit(1))
-    out = c.join(hit, ["i", "j"], "left").groupBy("user_id").agg(F.count("*").alias("n"), F.count("hit").alias("inside"))
-    return out.withColumn("share", F.col("inside") / F.col("n"))
-
-
-@query(ORACLES["camera_inside_share"].replace(EVIDENCE, "marks AS (SELECT DISTINCT CAST(floor(l_extendedprice / 25000.0) AS BIGINT) AS i, CAST(floor(l_quantity / 10.0) AS BIGINT) AS j FROM lineitem)"))
-def camera_inside_share_whole(spark, d):
     """The evidence is every lineitem point, its price in thousands."""
     c = camera(spark, d).withColumn("i", grid.cell("x", 25)).withColumn("j", grid.cell("z", 10))
     points = table(spark, d, "lineitem").select(grid.cell("l_extendedprice", 25000).alias("i"), grid.cell("l_quantity", 10).alias("j"))
-    return inside_share(c, grid.occupied(points, "i", "j"))
+    hit = grid.near(grid.occupied(c, "i", "j"), grid.occupied(points, "i", "j"), []).withColumn("hit", F.lit(1))
+    out = c.join(hit, ["i", "j"], "left").groupBy("user_id").agg(F.count("*").alias("n"), F.count("hit").alias("inside"))
+    return out.withColumn("share", F.col("inside") / F.col("n"))
 
 
 @query(f"""WITH {CELLS} SELECT CAST(floor(i / 5.0) AS BIGINT) AS bi, CAST(floor(j / 5.0) AS BIGINT) AS bj, count(*) AS cells, count(*) >= 20 AS dense
@@ -284,30 +274,20 @@ def median_refine(spark, d):
     return near.where(F.abs(F.col("o_totalprice") - F.col("o")) < 1500).groupBy("s_suppkey").agg(F.count("*").alias("near"), F.median("o_totalprice").alias("refined"))
 
 
-#: Of the queries whose SQL thins its input by an id, the ones named *_whole take every row.
 ANGLES = [(k, math.cos(math.radians(k * 0.5)), math.sin(math.radians(k * 0.5))) for k in range(180)]
 
 
 @query(f"""WITH a(angle, c, s) AS (VALUES {", ".join(f"({k}, {c!r}::DOUBLE, {s!r}::DOUBLE)" for k, c, s in ANGLES)}),
-p AS (SELECT l_extendedprice / 1000.0 AS x, l_quantity AS z FROM lineitem WHERE l_orderkey % 50 = 0),
+p AS (SELECT l_extendedprice / 1000.0 AS x, l_quantity AS z FROM lineitem),
 b AS (SELECT angle, 0 AS axis, CAST(floor((x * c + z * s) / 0.5) AS BIGINT) AS bin FROM p, a UNION ALL SELECT angle, 1, CAST(floor((-x * s + z * c) / 0.5) AS BIGINT) FROM p, a),
 h AS (SELECT angle, axis, bin, count(*) AS n FROM b GROUP BY ALL), t AS (SELECT angle, CAST(sum(n * n) AS BIGINT) AS score FROM h GROUP BY angle)
 SELECT angle, score FROM t ORDER BY score DESC, angle LIMIT 1""")
 def manhattan_angle(spark, d):
-    return best_of(spark, table(spark, d, "lineitem").where("l_orderkey % 50 = 0"))
-
-
-def best_of(spark, t):
-    p = t.select((F.col("l_extendedprice") / 1000).alias("x"), F.col("l_quantity").alias("z"))
+    p = table(spark, d, "lineitem").select((F.col("l_extendedprice") / 1000).alias("x"), F.col("l_quantity").alias("z"))
     angles = spark.createDataFrame(ANGLES, "angle int, c double, s double")
     return hist.best_angle(hist.angle_scores(p, [], angles, 0.5), [])
 
 
-@query(ORACLES["manhattan_angle"].replace(" WHERE l_orderkey % 50 = 0", ""))
-def manhattan_angle_whole(spark, d):
-    return best_of(spark, table(spark, d, "lineitem"))
-
-
 RUNS = f"""{CAMERA}, bins AS (SELECT DISTINCT user_id, CAST(floor(x / 0.5) AS BIGINT) AS bin FROM camera),
 brk AS (SELECT *, CASE WHEN coalesce(bin - lag(bin) OVER w > 3, true) THEN 1 ELSE 0 END AS b FROM bins WINDOW w AS (PARTITION BY user_id ORDER BY bin)),
 num AS (SELECT *, CAST(sum(b) OVER (PARTITION BY user_id ORDER BY bin ROWS UNBOUNDED PRECEDING) AS BIGINT) AS run FROM brk),
@@ -367,7 +347,7 @@ def gap_classify(spark, d):
     s = path.segments(c, ["user_id"], ORDER).withColumn("lo", F.least("x", "x1")).withColumn("hi", F.greatest("x", "x1"))
     met = joins.range_join(lines, s, [], "off", "lo", "hi", 20).withColumn("at", path.crossing(F.col, F.col("off"))).where("at is not null").select("off", "at")
     key = ["o_custkey", "g0"]
-    per = lambda points, value, low, high, name: joins.count_between(points, g.withColumn("lo", low).withColumn("hi", high), ["off"], value, "lo", "hi", key, name)
+    per = lambda points, value, low, high, name: joins.count_between(points, g.withColumn("lo", low).withColumn("hi", high), ["off"], value, "lo", "hi", key, name, 4.0)
     crossings = per(met, "at", F.col("a"), F.col("b"), "crossings")
     band = joins.range_join(c.select("x", "z"), lines.withColumn("lo", F.col("off") - 4).withColumn("hi", F.col("off") + 4), [], "x", "lo", "hi", 8).where(F.abs(F.col("x") - F.col("off")) < 4).select("off", "z")
     occluders = per(band, "z", F.col("a") - 0.2, F.col("b") + 0.2, "occ")
@@ -435,28 +415,12 @@ def nearest_plane_assign(spark, d):
 
 
 @query("""WITH e AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b, CAST(embedding[3] AS DOUBLE) AS c FROM embeddings)
-SELECT p.vec_id, q.vec_id AS camera, (p.a - q.a) * (p.a - q.a) + (p.b - q.b) * (p.b - q.b) + (p.c - q.c) * (p.c - q.c) AS d2 FROM e p JOIN e q ON q.vec_id % 10 = 0
+SELECT p.vec_id, q.vec_id AS camera, (p.a - q.a) * (p.a - q.a) + (p.b - q.b) * (p.b - q.b) + (p.c - q.c) * (p.c - q.c) AS d2 FROM e p JOIN e q ON q.vec_id <> p.vec_id
 QUALIFY row_number() OVER (PARTITION BY p.vec_id ORDER BY (p.a - q.a) * (p.a - q.a) + (p.b - q.b) * (p.b - q.b) + (p.c - q.c) * (p.c - q.c), q.vec_id) = 1""")
 def nearest_camera(spark, d):
-    e = vectors(spark, d)
-    return nearest_of(e, e.where("vec_id % 10 = 0"))
-
-
-@query(ORACLES["nearest_camera"].replace("q.vec_id % 10 = 0", "q.vec_id <> p.vec_id"))
-def nearest_camera_whole(spark, d):
-    """The nearest of all other points."""
-    e = vectors(spark, d)
-    return nearest_of(e, e, F.col("vec_id") != F.col("camera"))
-
-
-def vectors(spark, d):
-    return table(spark, d, "embeddings").select("vec_id", *[F.col("embedding")[k].cast("double").alias(c) for k, c in enumerate("abc")])
-
-
-def nearest_of(e, targets, only=None):
-    q = targets.select(F.col("vec_id").alias("camera"), *[F.col(c).alias(f"q{c}") for c in "abc"])
-    diff = [(F.col(c) - F.col(f"q{c}")) * (F.col(c) - F.col(f"q{c}")) for c in "abc"]
-    return joins.nearest_point(e, q, "vec_id", "camera", diff[0] + diff[1] + diff[2], only=only)
+    """The nearest of all other vectors."""
+    e = table(spark, d, "embeddings").select("vec_id", *[F.col("embedding")[k].cast("double").alias(c) for k, c in enumerate("abc")])
+    return joins.nearest_point(e, e.withColumnRenamed("vec_id", "camera"), "vec_id", "camera", list("abc"), others=True)
 
 
 @query(f"""WITH {CAMERA} SELECT s_suppkey, count(*) AS cells FROM supplier JOIN camera ON abs(x - s_acctbal / 20.0) < 2 AND z >= s_nationkey * 2 - 0.2 AND z <= s_nationkey * 2 + 20.2
@@ -485,14 +449,14 @@ def perpendicular_snap(spark, d):
     return ahead.groupBy("p_partkey").agg(F.min(F.struct("d", "s_suppkey")).alias("_m")).select("p_partkey", "_m.s_suppkey", "_m.d")
 
 
-HORIZONTALS = "hs AS (SELECT p_partkey, CAST(p_size AS DOUBLE) AS v, p_retailprice AS u0, p_retailprice + 3 AS u1 FROM part WHERE p_partkey % 20 = 0)"
+HORIZONTALS = "hs AS (SELECT p_partkey, CAST(p_size AS DOUBLE) AS v, p_retailprice AS u0, p_retailprice + 3 AS u1 FROM part)"
 NODES = f"""{LINES.replace("0.37", "0.37::DOUBLE")}, {HORIZONTALS}, pairs AS (SELECT s_suppkey, p_partkey, off AS u, v, greatest(0.0::DOUBLE, a - v, v - b) AS dv, greatest(0.0::DOUBLE, u0 - off, off - u1) AS dh FROM walls JOIN hs ON off >= u0 - 1.0 AND off <= u1 + 1.0),
 nodes AS (SELECT s_suppkey, p_partkey, u, v, CASE WHEN dv <= 0.05 AND dh <= 0.05 THEN 'inside' WHEN dv <= 0.05 THEN 'extend_horizontal' ELSE 'extend_vertical' END AS kind FROM pairs
 WHERE (dv <= 0.05 AND dh <= 0.05) OR (dv <= 0.05 AND dh <= 1.0) OR (dh <= 0.05 AND dv <= 1.0))"""
 
 
-def nodes(spark, d, which="p_partkey % 20 = 0"):
-    h = table(spark, d, "part").where(which).select("p_partkey", F.col("p_size").cast("double").alias("v"), F.col("p_retailprice").alias("u0"), (F.col("p_retailprice") + 3).alias("u1"))
+def nodes(spark, d):
+    h = table(spark, d, "part").select("p_partkey", F.col("p_size").cast("double").alias("v"), F.col("p_retailprice").alias("u0"), (F.col("p_retailprice") + 3).alias("u1"))
     reach = h.withColumn("lo", F.col("u0") - 1.0).withColumn("hi", F.col("u1") + 1.0)
     p = joins.range_join(wall_lines(spark, d), reach, [], "off", "lo", "hi", 5)
     zero = F.lit(0.0)
@@ -507,58 +471,32 @@ def node_candidates(spark, d):
     return nodes(spark, d)
 
 
-def whole(sql):
-    return sql.replace(" WHERE p_partkey % 20 = 0", "")
-
-
-@query(whole(ORACLES["node_candidates"]))
-def node_candidates_whole(spark, d):
-    return nodes(spark, d, "true")
-
-
 EDGES = NODES + """, on_line AS (SELECT DISTINCT s_suppkey, u, v FROM nodes), edges AS (SELECT s_suppkey, v AS va, lead(v) OVER (PARTITION BY s_suppkey ORDER BY v) AS vb FROM on_line)"""
 
 
-def line_edges(spark, d, which="p_partkey % 20 = 0"):
+def line_edges(spark, d):
     from pyspark.sql import Window
 
-    on = nodes(spark, d, which).select("s_suppkey", "u", "v").distinct()
+    on = nodes(spark, d).select("s_suppkey", "u", "v").distinct()
     return on.select("s_suppkey", F.col("v").alias("va"), F.lead("v").over(Window.partitionBy("s_suppkey").orderBy("v")).alias("vb"))
 
 
 @query(f"WITH {EDGES} SELECT s_suppkey, va, vb, vb - va AS length FROM edges WHERE vb - va > 1e-9")
 def edge_between_nodes(spark, d):
-    return long_edges(line_edges(spark, d))
-
-
-def long_edges(e):
-    return e.withColumn("length", F.col("vb") - F.col("va")).where("length > 1e-9")
-
-
-@query(whole(ORACLES["edge_between_nodes"]))
-def edge_between_nodes_whole(spark, d):
-    return long_edges(line_edges(spark, d, "true"))
+    return line_edges(spark, d).withColumn("length", F.col("vb") - F.col("va")).where("length > 1e-9")
 
 
 @query(f"""WITH {EDGES}, ends AS (SELECT s_suppkey, va AS v FROM edges WHERE vb IS NOT NULL UNION ALL SELECT s_suppkey, vb FROM edges WHERE vb IS NOT NULL),
 deg AS (SELECT n.s_suppkey, n.v, count(e.v) AS d FROM on_line n LEFT JOIN ends e ON e.s_suppkey = n.s_suppkey AND e.v = n.v GROUP BY 1, 2)
 SELECT count(*) FILTER (WHERE d <= 1) AS dangling, count(*) FILTER (WHERE d = 2) AS l, count(*) FILTER (WHERE d = 3) AS t, count(*) FILTER (WHERE d > 3) AS "cross" FROM deg""")
 def node_types(spark, d):
-    return type_counts(line_edges(spark, d))
-
-
-def type_counts(e):
+    e = line_edges(spark, d)
     full = e.where("vb is not null")
     ends = full.select("s_suppkey", F.col("va").alias("v")).unionByName(full.select("s_suppkey", F.col("vb").alias("v"))).groupBy("s_suppkey", "v").agg(F.count("*").alias("d"))
     deg = e.select("s_suppkey", F.col("va").alias("v")).join(ends, ["s_suppkey", "v"], "left").select(F.coalesce("d", F.lit(0)).alias("d"))
     return deg.agg(F.count_if(F.col("d") <= 1).alias("dangling"), F.count_if(F.col("d") == 2).alias("l"), F.count_if(F.col("d") == 3).alias("t"), F.count_if(F.col("d") > 3).alias("cross"))
 
 
-@query(whole(ORACLES["node_types"]))
-def node_types_whole(spark, d):
-    return type_counts(line_edges(spark, d, "true"))
-
-
 @query("""SELECT a.p_type, a.p_partkey AS p_partkey_a, b.p_partkey AS p_partkey_b, a.p_retailprice AS p_retailprice_a, b.p_retailprice AS p_retailprice_b, a.p_brand AS p_brand_a, b.p_brand AS p_brand_b
 FROM part a JOIN part b ON a.p_type = b.p_type AND a.p_partkey < b.p_partkey AND a.p_brand <> b.p_brand AND abs(a.p_retailprice - b.p_retailprice) <= 0.06""")
 def opening_pairs(spark, d):
@@ -707,27 +645,18 @@ def measure_interval_check(spark, d):
     return rules.violations(table(spark, d, "orders"), "interval", measures.interval_holds(v, F.col("o_totalprice") * 0.5, F.col("o_totalprice") * 1.5), "o_orderkey")
 
 
-@query("""WITH p AS (SELECT l_suppkey AS wall, CASE l_linenumber % 4 WHEN 0 THEN 'observed' WHEN 1 THEN 'inferred_extension' WHEN 2 THEN 'inferred_occluded' ELSE 'inferred_dropout' END AS provenance, CAST(l_quantity AS BIGINT) // 10 AS length FROM lineitem WHERE l_orderkey % 40 = 0),
+@query("""WITH p AS (SELECT l_suppkey AS wall, CASE l_linenumber % 4 WHEN 0 THEN 'observed' WHEN 1 THEN 'inferred_extension' WHEN 2 THEN 'inferred_occluded' ELSE 'inferred_dropout' END AS provenance, CAST(l_quantity AS BIGINT) // 10 AS length FROM lineitem),
 t AS (SELECT wall, provenance, CAST(sum(length) AS BIGINT) AS total FROM p GROUP BY 1, 2)
 SELECT wall, provenance, total FROM t QUALIFY row_number() OVER (PARTITION BY wall ORDER BY total DESC, CASE provenance WHEN 'observed' THEN 0 WHEN 'inferred_extension' THEN 1 WHEN 'inferred_occluded' THEN 2 ELSE 3 END) = 1""")
 def dominant_provenance(spark, d):
-    return dominant_of(table(spark, d, "lineitem").where("l_orderkey % 40 = 0"))
-
-
-def dominant_of(t):
     names = {0: "observed", 1: "inferred_extension", 2: "inferred_occluded"}
     prov = F.lit("inferred_dropout")
     for k, v in names.items():
         prov = F.when(F.col("l_linenumber") % 4 == k, v).otherwise(prov)
-    p = t.select(F.col("l_suppkey").alias("wall"), prov.alias("provenance"), F.expr("cast(l_quantity as bigint) div 10").alias("length"))
+    p = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("wall"), prov.alias("provenance"), F.expr("cast(l_quantity as bigint) div 10").alias("length"))
     return rules.dominant_provenance(p, ["wall"])
 
 
-@query(ORACLES["dominant_provenance"].replace(" WHERE l_orderkey % 40 = 0", ""))
-def dominant_provenance_whole(spark, d):
-    return dominant_of(table(spark, d, "lineitem"))
-
-
 @query("""SELECT o_custkey % 100 AS room, CAST(sum(CASE WHEN o_orderstatus = 'O' THEN o_orderkey % 100 ELSE 0 END) AS BIGINT) / CAST(sum(o_orderkey % 100) AS BIGINT) AS observed_frac FROM orders GROUP BY 1""")
 def perimeter_observed_share(spark, d):
     o, n = table(spark, d, "orders"), F.col("o_orderkey") % 100

@@ -30,6 +30,15 @@ def assigned(points: DataFrame, surfaces: DataFrame, floor_y: float = 0.0, top:
     return best.select("capture_id", "pid", "m.surface_id", "m.along", "m.y", "m.r", "m.g", F.col("m.b2").alias("b"))
 
 
+def coloured(points: DataFrame, rgb: DataFrame, levels: DataFrame, nearest: float = 0.30) -> DataFrame:
+    """World points of the sampled frames with their pixels' colours, heights above the floor. points:
+    recon.world_points(), whose pid holds frame, row and column; rgb: video.pixels() of frames as
+    large as the depth images. Points nearer to the camera than `nearest` don't count."""
+    p = points.select("capture_id", "pid", "idx", F.expr("cast(pid & 65535 as int)").alias("u"), F.expr("cast(shiftright(pid, 16) & 65535 as int)").alias("v"), "x", "y", "z", "depth_m").where(F.col("depth_m") >= nearest)
+    j = p.join(rgb, ["capture_id", "idx", "u", "v"]).join(levels.select("capture_id", "floor_y"), "capture_id")
+    return j.select("capture_id", "pid", "x", (F.col("y") - F.col("floor_y")).alias("y"), "z", "r", "g", "b2")
+
+
 def surface_grid(on: DataFrame, floor_y: float = 0.0) -> DataFrame:
     """Mean colour per surface cell; null under three samples."""
     cells = on.select("capture_id", "surface_id", grid.cell(F.col("y") - floor_y - BAND_LOW, CELL).alias("i"), grid.cell("along", CELL).alias("j"), "r", "g", "b")
@@ -59,7 +68,7 @@ def rectangles(found: DataFrame, surfaces: DataFrame, size: float = CELL) -> Dat
     n = F.hypot(dx, dz)
     at = lambda k: [(F.col("a")[0] + dx / n * k * size), (F.col("a")[1] + dz / n * k * size)]
     (x0, z0), (x1, z1) = at(F.col("j0")), at(F.col("j1") + 1)
-    return j.select("capture_id", "id", x0.alias("x0"), z0.alias("z0"), x1.alias("x1"), z1.alias("z1"), (F.col("i0") * size + BAND_LOW).alias("low"), ((F.col("i1") + 1) * size + BAND_LOW).alias("high"))
+    return j.select("capture_id", "id", "kind", x0.alias("x0"), z0.alias("z0"), x1.alias("x1"), z1.alias("z1"), (F.col("i0") * size + BAND_LOW).alias("low"), ((F.col("i1") + 1) * size + BAND_LOW).alias("high"))
 
 
 def assessed(cells: DataFrame) -> dict[str, DataFrame]:

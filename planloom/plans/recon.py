@@ -24,7 +24,13 @@ def world_points(depth: DataFrame, frames: DataFrame, scale: float = 0.001, max_
     rows = spatial.quaternion_rows(*(F.col(c) for c in ("qx", "qy", "qz", "qw")))
     world = spatial.to_world(rows, [F.col(c) for c in "xyz"], cam)
     pid = F.col("idx").cast("long") * (1 << 32) + F.col("v").cast("long") * (1 << 16) + F.col("u")
-    return j.select("capture_id", "idx", pid.alias("pid"), *[w.alias(n) for w, n in zip(world, "xyz", strict=True)])
+    return j.select("capture_id", "idx", pid.alias("pid"), *[w.alias(n) for w, n in zip(world, "xyz", strict=True)], F.col("metres").alias("depth_m"))
+
+
+def poses(frames: DataFrame) -> DataFrame:
+    """capture_id, idx and the 4 x 4 camera-to-world matrix m of each frame, row by row."""
+    rows = spatial.quaternion_rows(*(F.col(c) for c in ("qx", "qy", "qz", "qw")))
+    return frames.select("capture_id", "idx", spatial.pose(rows, [F.col(c) for c in "xyz"]).alias("m"))
 
 
 def voxelised(points: DataFrame, size: float = 0.01) -> DataFrame:
