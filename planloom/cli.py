@@ -1,5 +1,5 @@
-"""Commands: run, ablate, validate, build. Exit codes: 0; 1 an invalid plan or a failed invariant; 2 bad
-arguments; 3 a tier that isn't supported."""
+"""Commands over capture bundles. Exit codes: 0; 1 an invalid plan or a failed invariant; 2 bad arguments
+or input; 3 what isn't supported."""
 
 from __future__ import annotations
 
@@ -9,88 +9,176 @@ import sys
 from pathlib import Path
 
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
+from . import params
 
-def evidence(spark: SparkSession, folder: str, stride: int, voxel: float):
-    """Layers, camera, levels and cloud of the bundle in a folder."""
-    from .plans import evidence as ev
-    from .plans import recon
-    from .sources import bundle
+OK, INVALID, BAD, UNSUPPORTED = 0, 1, 2, 3
+
+
+def session() -> SparkSession:
+    return SparkSession.builder.appName("planloom").getOrCreate()
 
-    frames = recon.frame_stride(bundle.read_frames(spark, folder), stride)
-    depth = bundle.pixels(bundle.decoded(bundle.file_names(spark, folder, "depth")), "depth")
-    sure = bundle.pixels(bundle.decoded(bundle.file_names(spark, folder, "confidence")), "confidence")
-    points = recon.voxelised(recon.world_points(bundle.with_confidence(depth, sure), frames), voxel).persist()
-    levels = ev.planes(points)
-    camera = frames.select("capture_id", F.col("idx").alias("seq"), "x", "y", "z")
-    return ev.layers(points, camera, levels), camera, levels, points
-
-
-def run(spark: SparkSession, folder: str, out: Path, stride: int = 20, voxel: float = 0.01) -> int:
-    from .plans import captures, plan
-
-    if not any(Path(folder).glob("depth/*.png")):
-        return 3
-    layers, camera, levels, points = evidence(spark, folder, stride, voxel)
-    high = points.join(levels, "capture_id").where(F.col("y") > F.col("floor_y") + 2.0).select("capture_id", "x", "y", "z")
-    done = captures.reconstructed(captures.stacked(layers, camera, high), levels)
-    code = 0
-    for r in done.toLocalIterator():  # one row a capture
-        target = out / r["capture_id"]
-        target.mkdir(parents=True, exist_ok=True)
-        doc = plan.document(r["capture_id"], r["walls"], r["rooms"])
-        found, rooms = json.loads(r["walls"]), json.loads(r["rooms"])
-        (target / "walls.json").write_text(json.dumps(found, indent=2, sort_keys=True))
-        (target / "rooms.json").write_text(json.dumps(rooms, indent=2, sort_keys=True))
-        (target / "walls.svg").write_text(plan.walls_svg(found))
-        (target / "plan.svg").write_text(plan.plan_svg(doc, found, rooms))
-        wrong = plan.problems(doc)
-        if not wrong:  # an invalid plan leaves no plan.json
-            (target / "plan.json").write_text(json.dumps(doc, indent=2, sort_keys=True))
-        failed = [i["name"] for i in json.loads(r["invariants"]) if i["ok"] is False]
-        print(json.dumps({"capture": r["capture_id"], "rooms": len(doc["rooms"]), "problems": wrong, "failed": failed}))
-        code = 1 if wrong or failed else code
+
+def saved(run, cfg: params.Config) -> int:
+    """Writes the files of each capture and prints a line about it."""
+    from . import pipeline
+    from .sources import files
+
+    code = OK
+    for row in run.docs.toLocalIterator():  # one row a capture
+        out, wrong, failed = pipeline.files_of(row.asDict(), cfg)
+        folder = cfg.output_dir if "://" in cfg.output_dir else str(Path(cfg.output_dir).resolve())
+        for name, content in out.items():
+            files.put(f"{folder}/{row['capture_id']}/{name}", content if isinstance(content, bytes) else content.encode())
+        doc = json.loads(out["plan.json"]) if "plan.json" in out else {}
+        about = {"capture": row["capture_id"], "status": doc.get("status"), "rooms": len(doc.get("rooms", [])), "damages": len(doc.get("damages", [])), "problems": wrong, "failed": failed}
+        print(json.dumps(about | {"ablation": (doc.get("stitch") or {}).get("ablation")}))
+        code = INVALID if wrong or failed else code
     return code
 
 
+def run(spark: SparkSession, folder: str, cfg: params.Config, rgb=None) -> int:
+    """Every step, over the bundles of a folder or glob."""
+    from . import pipeline
+    from .sources import bundle, files
+
+    if not files.found(spark, f"{folder}/odometry.csv"):
+        print(f"no bundle in {folder}", file=sys.stderr)
+        return BAD
+    tier = bundle.tier_of(spark, folder)
+    if tier != "lidar":
+        print(f"tier {tier} isn't supported", file=sys.stderr)
+        return UNSUPPORTED
+    return saved(pipeline.run(spark, folder, cfg, rgb), cfg)
+
+
+def resume(spark: SparkSession, cfg: params.Config, walls: bool) -> int:
+    """Goes on from the evidence (or the walls) that an earlier run left in the output folder."""
+    from . import pipeline
+
+    return saved(pipeline.resumed(spark, cfg.output_dir, cfg, walls), cfg)
+
+
+def ingest(spark: SparkSession, folder: str, cfg: params.Config) -> int:
+    """The bundle alone: session.json with the tier, its frames and poses."""
+    from pyspark.sql import functions as F
+
+    from .plans import recon
+    from .sources import bundle, files
+
+    if not files.found(spark, f"{folder}/odometry.csv"):
+        print(f"no bundle in {folder}", file=sys.stderr)
+        return BAD
+    tier = bundle.tier_of(spark, folder)
+    frames = bundle.read_frames(spark, folder)
+    frames = frames.join(recon.poses(frames), ["capture_id", "idx"], "left").withColumn("k", F.array("fx", "fy", "cx", "cy"))
+    row = F.struct("timestamp", "frame", "idx", "depth_ref", "confidence_ref", F.col("m").alias("pose"), "k")
+    docs = frames.groupBy("capture_id").agg(F.to_json(F.array_sort(F.collect_list(row))).alias("frames"))
+    root = cfg.output_dir if "://" in cfg.output_dir else str(Path(cfg.output_dir).resolve())
+    for r in docs.toLocalIterator():  # one row a capture
+        doc = {"capture_id": r["capture_id"], "tier": tier, "frames": json.loads(r["frames"]), "provenance": params.provenance(tier, cfg.seed)}
+        files.put(f"{root}/{r['capture_id']}/session.json", (json.dumps(doc, indent=2, sort_keys=True) + "\n").encode())
+        print(json.dumps({"capture": r["capture_id"], "tier": tier, "frames": len(doc["frames"])}))
+    return OK
+
+
 def validate(path: str) -> int:
     from .plans import plan
 
     wrong = plan.problems(json.loads(Path(path).read_text()))
     print("\n".join(wrong) or "valid")
-    return 1 if wrong else 0
+    return INVALID if wrong else OK
 
 
-def ablate(spark: SparkSession, path: str) -> int:
-    """A plan's footprint with and without loop closure."""
-    from .plans import captures
+def ablate(spark: SparkSession, capture: str, feature: str, cfg: params.Config, rgb=None) -> int:
+    """A whole run whose drawing compares the footprint with and without the feature."""
+    from .sources import bundle
 
-    doc = json.loads(Path(path).read_text())
-    rooms = {r["id"]: r["ring"] for r in doc["rooms"]}
-    df = spark.createDataFrame([(doc["capture_id"], json.dumps({"rooms": rooms}))], "capture_id string, doc string")
-    for r in captures.stitched(df).collect():  # two rows
-        print(json.dumps(r.asDict(), default=str))
-    return 0
+    if feature != "loop_closure":
+        print(f"unknown feature {feature}", file=sys.stderr)
+        return BAD
+    try:
+        here = Path.cwd()
+        folder = bundle.resolve(spark, capture, [str(here), str(here / "bench" / "data")])
+    except LookupError as e:
+        print(e, file=sys.stderr)
+        return BAD
+    return run(spark, folder, cfg, rgb)
 
 
-def main(args: list[str] | None = None) -> int:
+def build(spark: SparkSession, got: argparse.Namespace) -> int:
+    from .sources import bundle
+
+    meta = {"device": got.device, "ios": got.ios, "rooms_expected": got.rooms_expected}
+    if got.app:
+        meta["tool"] = {"name": got.app, "version": got.app_version or ""}
+    try:
+        target, warnings = bundle.build(spark, got.raw, str(Path(got.out).resolve()), got.capture_id, got.depth_units, meta)
+    except ValueError as e:
+        print(e, file=sys.stderr)
+        return BAD
+    print("\n".join([f"warning: {w}" for w in warnings] + [f"built {target}"]))
+    return OK
+
+
+def arguments() -> argparse.ArgumentParser:
     parser = argparse.ArgumentParser(prog="planloom")
+    parser.add_argument("--version", "-V", action="version", version=f"planloom {params.VERSION}")
     sub = parser.add_subparsers(dest="command", required=True)
-    a = sub.add_parser("run")
-    a.add_argument("folder")
-    a.add_argument("--out", type=Path, default=Path("out"))
-    a.add_argument("--stride", type=int, default=20)
-    for name in ("validate", "ablate"):
-        sub.add_parser(name).add_argument("plan")
+
+    def command(name: str, *positional: str) -> argparse.ArgumentParser:
+        a = sub.add_parser(name)
+        for p in positional:
+            a.add_argument(p)
+        if name in ("run", "ingest", "ablate", "resume"):
+            a.add_argument("--config")
+            a.add_argument("--out", "-o")
+        if name in ("run", "ablate"):
+            a.add_argument("--stride", type=int)
+            a.add_argument("--voxel-cm", type=float)
+        return a
+
+    command("run", "folder")
+    command("ingest", "folder")
+    command("resume").add_argument("--walls", action="store_true")
+    a = command("ablate")
+    a.add_argument("--capture", required=True)
+    a.add_argument("--feature", default="loop_closure")
+    command("validate", "plan")
+    b = command("build", "raw")
+    b.add_argument("--out", default="bundles")
+    b.add_argument("--depth-units", choices=("mm", "m"), default="mm")
+    for name in ("capture-id", "device", "ios", "app", "app-version"):
+        b.add_argument(f"--{name}")
+    b.add_argument("--rooms-expected", type=int, default=0)
+    for name in ("bench", "report"):  # named, but not there yet
+        command(name).add_argument("--tier")
+    return parser
+
+
+def main(args: list[str] | None = None) -> int:
     try:
-        got = parser.parse_args(args)
+        got = arguments().parse_args(args)
     except SystemExit as e:
         return int(e.code or 0)
     if got.command == "validate":
         return validate(got.plan)
-    spark = SparkSession.builder.appName("planloom").getOrCreate()
-    return run(spark, got.folder, got.out, got.stride) if got.command == "run" else ablate(spark, got.plan)
+    if got.command in ("bench", "report"):
+        print(f"{got.command} isn't there yet", file=sys.stderr)
+        return UNSUPPORTED
+    if got.command == "build":
+        return build(session(), got)
+    given = {"output_dir": got.out, "stride": getattr(got, "stride", None), "voxel": got.voxel_cm / 100 if getattr(got, "voxel_cm", None) else None}
+    try:
+        cfg = params.load(got.config, **{k: v for k, v in given.items() if v is not None})
+    except ValueError as e:
+        print(e, file=sys.stderr)
+        return BAD
+    if got.command == "resume":
+        return resume(session(), cfg, got.walls)
+    if got.command == "ablate":
+        return ablate(session(), got.capture, got.feature, cfg)
+    return run(session(), got.folder, cfg) if got.command == "run" else ingest(session(), got.folder, cfg)
 
 
 if __name__ == "__main__":

@@ -22,6 +22,13 @@ class Config:
     least_support: int = 4
     seed: int = 1337
     loop_closure: bool = True
+    output_dir: str = "out"
+    save_unfiltered: bool = True
+    damage: bool = True
+    damage_stride: int = 60
+    damage_frames: int = 200
+    damage_nearest: float = 0.30
+    damage_farthest: float = 6.0
     walls: dict = field(default_factory=lambda: dict(walls.PARAMS))
     rooms: dict = field(default_factory=lambda: dict(rooms.PARAMS))
 

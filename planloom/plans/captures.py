@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..kernels import polygons, rooms, stitch, walls
+from .plan import document
+
+NO_ROOMS = {"rooms": [], "enclosed": [], "fragments": [], "closures": [], "plan_score": 0.0, "waists": [], "merges": [], "openings": [], "adjacency": [], "overlaps": []}
 
 STAGE = "capture_id string, layer string, x double, z double, y double, support long, seq long"
 
@@ -44,24 +47,35 @@ def plain(x):
     return x.tolist() if isinstance(x, (np.ndarray, np.generic)) else x
 
 
-def reconstructed(rows: DataFrame, floors: DataFrame, least_support: int = 4, wall_params: dict | None = None, room_params: dict | None = None) -> DataFrame:
-    """capture_id, walls and rooms as JSON documents. rows: stacked(); floors: capture_id, floor_y, ceil_y."""
+RECONSTRUCTED = "capture_id string, walls string, rooms string, invariants string, plan string"
+
+
+def reconstructed(rows: DataFrame, floors: DataFrame, least_support: int = 4, wall_params: dict | None = None, room_params: dict | None = None, saved: DataFrame | None = None) -> DataFrame:
+    """capture_id, and walls, rooms, invariants and the plain plan document as JSON. rows: stacked();
+    floors: capture_id, floor_y, ceil_y. saved: walls (capture_id, doc) of an earlier run, which are
+    taken instead of reconstructing them."""
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         a = arrays(part)
-        found = walls.reconstruct(a["wall"], a["wall_support"], a["path"], least_support, wall_params)
+        again = part["doc"].dropna().head(1).tolist() if saved is not None else []
+        found = json.loads(again[0]) if again else walls.reconstruct(a["wall"], a["wall_support"], a["path"], least_support, wall_params)
         turn = lambda xz: walls.rotated(xz, found["angle"])
         nodes = np.array([(n["u"], n["v"]) for n in found["graph"]["nodes"]]).reshape(-1, 2)
         # the walls that rooms are built from carry no intervals of their own
         bare = [walls.wall(w["axis"], w["offset"], w["start"], w["end"], provenance=w["provenance"], support=w["support"]) for w in found["walls"]]
         floor_y = float(part["floor_y"].iloc[0]) if part["floor_y"].notna().any() else 0.0
         ceil_y = float(part["ceil_y"].iloc[0]) if part["ceil_y"].notna().any() else None
-        plan = rooms.build(bare, found["opening"], nodes, turn(a["wall"]), turn(a["floor"]), turn(a["path"]), turn(a["free"]), turn(a["high"]), a["high_y"], floor_y, ceil_y, room_params)
+        empty = not len(a["wall"]) and not len(a["floor"])
+        plan = dict(NO_ROOMS) if empty else rooms.build(bare, found["opening"], nodes, turn(a["wall"]), turn(a["floor"]), turn(a["path"]), turn(a["free"]), turn(a["high"]), a["high_y"], floor_y, ceil_y, room_params)
         held = invariants(found, plan, turn(a["free"]), turn(a["path"]), turn(a["high"]), a["high_y"], floor_y)
-        return pd.DataFrame({"capture_id": [part["capture_id"].iloc[0]], "walls": [json.dumps(plain(found), sort_keys=True)], "rooms": [json.dumps(plain(plan), sort_keys=True)], "invariants": [json.dumps(plain(held), sort_keys=True)]})
+        name = part["capture_id"].iloc[0]
+        docs = [json.dumps(plain(x), sort_keys=True) for x in (found, plan, held)]
+        return pd.DataFrame([[name, *docs, json.dumps(document(name, docs[0], docs[1]), sort_keys=True)]], columns=["capture_id", "walls", "rooms", "invariants", "plan"])
 
     joined = rows.join(floors, "capture_id", "left")
-    return joined.groupBy("capture_id").applyInPandas(run, "capture_id string, walls string, rooms string, invariants string")
+    if saved is not None:
+        joined = joined.join(saved.select("capture_id", "doc"), "capture_id", "left")
+    return joined.groupBy("capture_id").applyInPandas(run, RECONSTRUCTED)
 
 
 def near_segment(xy: np.ndarray, gaps: list[dict], within: float) -> np.ndarray:

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import json
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -76,10 +77,14 @@ def plan_invariants(spark, d):
 @query()
 def plan_documents(spark, d):
     """The JSON plan of each capture and how many problems its validation finds."""
-    make = F.udf(lambda c, w, r: json.dumps(plan.document(c, w, r), sort_keys=True))  # one call a capture
-    wrong = F.udf(lambda doc: len(plan.problems(json.loads(doc))), T.IntegerType())
-    p = plans(spark, d).select("capture_id", make("capture_id", "walls", "rooms").alias("plan"))
-    return p.select("capture_id", F.get_json_object("plan", "$.status").alias("status"), F.sha2("plan", 256).alias("sha256"), wrong("plan").alias("problems"))
+
+    def check(batches):
+        for b in batches:
+            docs = b.column(1).to_pylist()
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(plan.problems(json.loads(x))) for x in docs], pa.int32())], ["capture_id", "plan", "problems"])
+
+    p = plans(spark, d).select("capture_id", "plan").mapInArrow(check, "capture_id string, plan string, problems int")
+    return p.select("capture_id", F.get_json_object("plan", "$.status").alias("status"), F.sha2("plan", 256).alias("sha256"), "problems")
 
 
 def two_rooms(spark: SparkSession, d: str) -> DataFrame:

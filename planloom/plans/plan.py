@@ -61,6 +61,18 @@ def connector_openings(found: list[dict], walls: list[dict], rooms: list[dict],
     return out
 
 
+def door_rows(found: list[dict], walls: list[dict], rooms: list[dict], angle: float) -> list[dict]:
+    """The connector openings as the stitcher takes them: room, kind, width, half, and the middle and
+    inward normal on the wall that holds each."""
+    by_id = {w["id"]: w for w in walls}
+    mids = {o["id"]: np.mean(ends(o, angle), 0).tolist() for o in found}
+    out = []
+    for o in connector_openings(found, walls, rooms, angle):
+        host, w = by_id[o["surface_id"]], o["width"]
+        out.append({"room": o["room_id"], "kind": o["kind"], "width": w["value"], "half": (w["ci_high"] - w["ci_low"]) / 2, "mid": mids[o["id"][:-2]], "normal": [host["nx"], host["nz"]]})
+    return out
+
+
 def document(capture_id: str, walls_json: str, rooms_json: str, stitch_doc: dict | None = None, damages: dict[str, list[dict]] | None = None) -> dict:
     """The plan document. Without rooms its status says so and its lists are empty."""
     found, plan = json.loads(walls_json), json.loads(rooms_json)
@@ -180,8 +192,14 @@ def clipped(w: dict, nodes: list[dict], tol: float = 0.15) -> dict:
     return w | {"start": max(w["start"], min(on)), "end": min(w["end"], max(on))} if on and max(on) > min(on) else w
 
 
-def plan_svg(doc: dict, found: dict, plan: dict) -> str:
-    d = Drawing([c for r in doc["rooms"] for c in r["ring"]])
+#: Stroke by damage class.
+DAMAGE_STROKES = {"mold": "#063", "water_stain": "#c80", "crack": "#c00", "peeling_paint": "#808"}
+
+
+def plan_svg(doc: dict, found: dict, plan: dict, rectangles: list[dict] | None = None) -> str:
+    """Rooms, walls by provenance, openings, and damage as thick strokes along its walls."""
+    marks = rectangles or []
+    d = Drawing([*(c for r in doc["rooms"] for c in r["ring"]), *((m[f"x{k}"], m[f"z{k}"]) for m in marks for k in (0, 1))])
     for r in doc["rooms"]:
         d.ring(r["ring"], "#eef")
         d.text(np.mean(r["ring"], 0), f"{r['id']} {r['area']['value']:.2f} m2")
@@ -190,6 +208,8 @@ def plan_svg(doc: dict, found: dict, plan: dict) -> str:
             d.line(*ends(w, found["angle"]), STROKES.get(w["provenance"], "#111"), 3)
     for o in plan["openings"]:
         d.line(*ends(o, found["angle"]), "#0a0", 4, "6 4")
+    for m in marks:
+        d.line((m["x0"], m["z0"]), (m["x1"], m["z1"]), DAMAGE_STROKES.get(m["kind"], "#f00"), 6)
     return d.svg(doc["capture_id"])
 
 

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import measures
-from . import png
+from ..shared import written
+from . import files, png
 
 POSE = ["timestamp", "x", "y", "z", "qx", "qy", "qz", "qw"]
 INTRINSICS = ["fx", "fy", "cx", "cy"]
@@ -31,6 +32,23 @@ def file_names(spark: SparkSession, folder: str, kind: str, pattern: str = "*.pn
     return files.select(capture_of(F.col("path"), 3).alias("capture_id"), name.alias("name"), "content")
 
 
+def tier_of(spark: SparkSession, folder: str) -> str:
+    """The tier of a bundle's folder (or of the bundles of a glob): depth images, else photos, else video."""
+    return "lidar" if files.found(spark, f"{folder}/depth") else "photos" if files.found(spark, f"{folder}/photos") else "video"
+
+
+def resolve(spark: SparkSession, capture: str, roots: list[str]) -> str:
+    """The folder of a capture: one that is there, or the only bundle of the id (with or without `cap_`)
+    below a folder of one of the roots. None or several are an error."""
+    if files.found(spark, f"{capture}/odometry.csv"):
+        return capture
+    name = capture.removeprefix("cap_")
+    hits = sorted({x.removesuffix("/odometry.csv") for r in roots for x in files.found(spark, f"{r}/*/{name}/odometry.csv")})
+    if len(hits) != 1:
+        raise LookupError(f"capture {capture} is ambiguous: {hits}" if hits else f"capture {capture} not found")
+    return hits[0]
+
+
 def tier(has_depth: Column, has_photos: Column) -> Column:
     return F.when(has_depth, "lidar").when(has_photos, "photos").otherwise("video")
 
@@ -132,3 +150,92 @@ META = T.StructType([T.StructField("capture_id", T.StringType()), T.StructField(
 
 def read_meta(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema(META).option("multiLine", True).json(f"{folder}/meta.json")
+
+
+# ---- bundles from raw exports ----------------------------------------------------------------
+
+
+def encoded(images: DataFrame, folder: str, kind: str) -> DataFrame:
+    """Writes images (capture_id, name, height, width, values) as PNG files; returns capture_id and name.
+    A task that runs again writes the same files."""
+    sample = np.uint16 if kind == "depth" else np.uint8
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for capture, name, height, width, values in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
+                files.put(f"{folder}/{capture}/{kind}/{name}.png", png.encode(np.array(values, sample).reshape(height, width)))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["capture_id", "name"])
+
+    return images.select("capture_id", "name", "height", "width", "values").mapInArrow(run, "capture_id string, name string")
+
+
+def build(spark: SparkSession, raw: str, out: str, capture_id: str | None = None, unit: str = "mm", meta: dict | None = None, shape: tuple[int, int] = (ROWS, COLS)) -> tuple[str, list[str]]:
+    """A bundle from a raw export (odometry.csv, depth/ or depth_m/, perhaps confidence/, camera_matrix.csv,
+    rgb.mp4 and imu.csv): its folder, and warnings. What can't be used is a ValueError.
+
+    Depth becomes whole millimetres; confidence that is missing is 2 everywhere; a row without
+    intrinsics takes those of the matrix. The bundle is read again in the end, so one that is built can be run.
+    """
+    import json
+
+    capture = capture_id or raw.rstrip("/").rpartition("/")[2]
+    target, warnings = f"{out.rstrip('/')}/{capture}", []
+    if not files.found(spark, f"{raw}/odometry.csv"):
+        raise ValueError(f"no odometry.csv in {raw}")
+    kind = next((k for k in ("depth", "depth_m") if files.found(spark, f"{raw}/{k}/*.png")), None)
+    if kind is None:
+        raise ValueError(f"no depth images in {raw}")
+    if kind == "depth_m" and unit == "mm":
+        unit = "m"
+        warnings.append("depth_m: taken as metres")
+    if unit not in ("mm", "m"):
+        raise ValueError(f"unknown unit {unit}")
+    odometry = written(read_odometry(spark, raw).withColumn("capture_id", F.lit(capture)))
+    has_matrix = bool(files.found(spark, f"{raw}/camera_matrix.csv"))
+    if has_matrix:
+        k = read_camera_matrix(spark, raw).first().asDict()
+    else:
+        first = odometry.where(" and ".join(f"{n} is not null" for n in INTRINSICS)).orderBy("timestamp", "frame").first()
+        if first is None:
+            raise ValueError("neither a camera matrix nor intrinsics in the odometry")
+        k = {f"k_{n}": first[n] for n in INTRINSICS}
+    for n in INTRINSICS:
+        odometry = odometry.withColumn(n, F.coalesce(n, F.lit(k[f"k_{n}"])))
+    lost = odometry.where(" or ".join(f"{n} is null" for n in ("frame", *POSE))).select("frame").first()
+    if lost is not None:
+        raise ValueError(f"the odometry row of frame {lost['frame']} lacks a value")
+
+    images = written(decoded(file_names(spark, raw, kind)).withColumn("capture_id", F.lit(capture)))
+    bad = wrong_shapes(images, *shape).orderBy("name").first()
+    if bad is not None:
+        raise ValueError(f"{bad['name']}: {bad['height']} x {bad['width']}, not {shape[0]} x {shape[1]}")
+    scale = measures.depth_scale(F.lit(unit))
+    depth = images.withColumn("values", F.transform("values", lambda v: measures.depth_millimetres(v, scale)))
+    names = written(encoded(depth, out.rstrip("/"), "depth"))
+    if files.found(spark, f"{raw}/confidence/*.png"):
+        sure = decoded(file_names(spark, raw, "confidence")).withColumn("capture_id", F.lit(capture)).join(names, ["capture_id", "name"], "left_semi")
+    else:
+        warnings.append("no confidence images: 2 everywhere")
+        sure = images.withColumn("values", F.transform("values", lambda v: F.lit(2)))
+    encoded(sure, out.rstrip("/"), "confidence").count()
+    for name in ("rgb.mp4", "imu.csv"):
+        if files.found(spark, f"{raw}/{name}"):
+            files.copy(spark, f"{raw}/{name}", f"{target}/{name}")
+        elif name == "rgb.mp4":
+            warnings.append("no rgb.mp4")
+
+    columns = ["timestamp", "frame", *POSE[1:], *INTRINSICS]
+
+    def one_file(part):
+        lines = [",".join(columns), *(",".join(str(v) for v in r) for r in part.sort_values(["timestamp", "frame"])[columns].itertuples(index=False))]
+        files.put(f"{target}/odometry.csv", ("\n".join(lines) + "\n").encode())
+        return part[["capture_id"]].head(1)
+
+    odometry.groupBy("capture_id").applyInPandas(one_file, "capture_id string").count()  # a capture's poses are one file
+    fx, fy, cx, cy = (k[f"k_{n}"] for n in INTRINSICS)
+    files.put(f"{target}/camera_matrix.csv", f"{fx},0.0,{cx}\n0.0,{fy},{cy}\n0.0,0.0,1.0\n".encode())
+    files.put(f"{target}/meta.json", (json.dumps({"capture_id": capture, "tier": "lidar"} | {n: v for n, v in (meta or {}).items() if v is not None}, indent=2) + "\n").encode())
+    missing = [r["frame"] for r in missing_depth(read_frames(spark, target)).limit(4).collect()]
+    if missing:
+        warnings.append(f"frames without a depth image: {', '.join(missing[:3])}{', ...' if len(missing) > 3 else ''}")
+    return target, warnings

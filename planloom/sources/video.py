@@ -5,9 +5,11 @@ from __future__ import annotations
 
 import shutil
 import subprocess
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
-from pyspark.sql import SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
@@ -69,3 +71,29 @@ class VideoFrames(DataSource):
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(VideoFrames)
+
+
+def pixels(frames: DataFrame) -> DataFrame:
+    """A row per pixel of frames (SCHEMA): capture_id, idx, u (column), v (row) and r, g, b2."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for capture, idx, height, width, raw in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
+                rgb = np.frombuffer(raw, np.uint8).reshape(-1, 3).astype(np.int32)
+                at = np.arange(height * width, dtype=np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([capture] * len(at)), pa.array(np.full(len(at), idx, np.int32)), pa.array(at % width), pa.array(at // width), *(pa.array(rgb[:, k].copy()) for k in range(3))],
+                    ["capture_id", "idx", "u", "v", "r", "g", "b2"],
+                )
+
+    return frames.select("capture_id", "idx", "height", "width", "rgb").mapInArrow(run, "capture_id string, idx int, u int, v int, r int, g int, b2 int")
+
+
+def read(spark: SparkSession, folder: str, stride: int, height: int = 192, width: int = 256) -> DataFrame:
+    """The frames of the videos <folder>/rgb.mp4 (folder may be a glob); no rows without ffmpeg or videos."""
+    from . import files
+
+    register(spark)
+    paths = files.found(spark, f"{folder}/rgb.mp4") if available() else []
+    local = ",".join(p.removeprefix("file:") for p in paths)
+    return spark.read.format("video_frames").option("paths", local).option("stride", stride).option("height", height).option("width", width).load()
