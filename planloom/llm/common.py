@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -11,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import release, shared_dir, written  # noqa: F401  (the operators import them from here)
+
 #: Texts are handled in packs of about so many bytes, so numpy's temporaries stay small however
 #: many rows Spark puts in an Arrow batch. One longer text is a pack of its own.
 PACK_BYTES = 1 << 20
@@ -20,21 +21,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, which every executor and the driver can reach.
-
-    Only where the setting is missing (local tests) the warehouse folder is used instead.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/planloom-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame) -> DataFrame:
-    """The frame written as Parquet to the shared folder and read again: lineage ends here."""
-    spark = df.sparkSession
-    path = shared_dir(spark)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def fresh(taken: Iterable[str], *names: str) -> list[str]:
+    """The names, each lengthened until no column of `taken` is called so (in any case)."""
+    known, out = {c.lower() for c in taken}, []
+    for name in names:
+        while name.lower() in known:
+            name += "_"
+        known.add(name.lower())
+        out.append(name)
+    return out
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

@@ -8,9 +8,15 @@ go no further; equal blocks are settled by counting their hashes; only different
 minimiser are compared byte by byte: each shard gets a suffix array by Larsson-Sadakane refinement
 and common prefixes by Kasai's rule, and windows whose neighbours share `length` bytes are repeats.
 
+Two blocks that share a window agree on half a window's bytes to the left of the minimiser or to its
+right, so a block whose two halves are both its own goes no further either.
+
 A minimiser with more than `most` different blocks is spread over several shards. Their windows'
 sorted fingerprints are then cut at common borders and merged: binary search in the merged order
 finds the windows that other shards have too.
+
+Passages of many words are found along the way, from blocks of word windows instead of byte windows;
+there equal windows are told by 128 bits of hash, and nothing is removed for them.
 """
 
 from __future__ import annotations
@@ -24,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of, col, mix64, packs, texts_of, written
+from .common import bytes_of, col, mix64, packs, release, texts_of, written
 from .forest import row_key
 from .suffixes import refine
 
@@ -35,31 +41,68 @@ SLICE = 1 << 22  # longer packs are searched slice by slice
 U64 = 2**64 - 1
 
 
+SPACE = np.isin(np.arange(256), np.frombuffer(b" \t\n\x0b\x0c\r", np.uint8))
+BASES = (PRIME, 0x9E3779B97F4A7C15)
+BYTES, WORDS = 0, 1  # what a block is measured in
+
+
 @dataclass(frozen=True)
 class Rule:
+    """`length` bytes make a repeat. With `words`, runs of so many words that other rows have too are
+    counted as well; `gram` and `word_gram` (powers of two) are the sizes of the minimisers."""
+
     length: int = 400
     gram: int = 32
-    most: int = 2048
+    most: int = 512
     shard_bytes: int = 2 << 20
+    words: int = 0
+    word_gram: int = 8
 
 
-def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
-    """Hash of the gram bytes from each place on (gram a power of two)."""
-    h, size = BYTE[data], 1
+def gram_hashes(x: np.ndarray, gram: int) -> np.ndarray:
+    """Hash of the gram codes from each place on (gram a power of two)."""
+    h, size = x, 1
     while size < gram:
         h = h[:-size] * np.uint64(pow(PRIME, size, U64 + 1)) + h[size:]
         size *= 2
     return mix64(h)
 
 
-def blocks_of(data: np.ndarray, off: np.ndarray, rule: Rule) -> Iterator[tuple[np.ndarray, ...]]:
-    """The blocks of texts laid end to end: text, start in the text, length, minimiser hash, and
-    start in data."""
-    span = rule.length - rule.gram + 1  # grams in a window
-    last = off[1:] - rule.length  # the last window of each text
-    for base in range(0, max(0, len(data) - rule.length + 1), SLICE):
-        part = data[base : base + SLICE + rule.length - 1]
-        h = gram_hashes(part, rule.gram)
+def running(x: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of x[i] base^i up to each place, and base^-i: (sum[b] - sum[a]) * inverse[a] is the hash of
+    x[a:b] wherever it lies."""
+    n = len(x)
+    up = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, base, np.uint64)]))
+    down = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, pow(base, -1, U64 + 1), np.uint64)]))
+    return np.concatenate([np.zeros(1, np.uint64), np.cumsum(x * up[:-1])]), down
+
+
+def words_of(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit code of each word of texts laid end to end, and where each text's words begin (one
+    more entry at the end). Words are runs of anything but space and \\t..\\r."""
+    if not len(data):
+        return np.zeros(0, np.uint64), np.zeros(len(off), np.int64)
+    solid = ~SPACE[data]
+    border = np.zeros(len(data) + 1, bool)
+    border[off] = True
+    before, after = np.ones(len(data), bool), np.ones(len(data), bool)
+    before[1:] = ~solid[:-1]
+    after[:-1] = ~solid[1:]
+    begin = np.flatnonzero(solid & (before | border[:-1]))
+    end = np.flatnonzero(solid & (after | border[1:])) + 1
+    total, down = running(BYTE[data], PRIME)
+    return mix64((total[end] - total[begin]) * down[begin] + (end - begin).astype(np.uint64)), np.searchsorted(begin, off)
+
+
+def blocks_of(x: np.ndarray, off: np.ndarray, length: int, gram: int, halves: bool = True) -> Iterator[tuple[np.ndarray, ...]]:
+    """The blocks of texts laid end to end, as codes: text, start in the text, size, minimiser hash,
+    start in x, and hashes of the half windows before and behind the minimiser (0: not within the block)."""
+    span = length - gram + 1  # grams in a window
+    half = -(-(length - gram) // 2)
+    last = off[1:] - length  # the last window of each text
+    for base in range(0, max(0, len(x) - length + 1), SLICE):
+        part = x[base : base + SLICE + length - 1]
+        h = gram_hashes(part, gram)
         key = (h >> np.uint64(PLACES) << np.uint64(PLACES)) | np.arange(len(h), dtype=np.uint64)
         size = 1
         while 2 * size <= span:
@@ -77,22 +120,51 @@ def blocks_of(data: np.ndarray, off: np.ndarray, rule: Rule) -> Iterator[tuple[n
         new = np.ones(len(at), bool)
         new[1:] = (text[1:] != text[:-1]) | (least[1:] != least[:-1])
         first = np.flatnonzero(new)
-        count = np.diff(np.append(first, len(at)))
-        yield text[first], at[first] - off[text[first]], count + rule.length - 1, h[least[first]].view(np.int64), at[first]
+        size = np.diff(np.append(first, len(at))) + length - 1
+        text, begin, mark = text[first], at[first], least[first]
+        m = h[mark]
+        sides = [np.zeros(0, np.int64)] * 2
+        if not halves:
+            yield text, begin - off[text], size, m.view(np.int64), begin, *sides
+            continue
+        total, down = running(part, PRIME)
+        sides = []
+        for lo, salt in ((mark - half, 1), (mark + gram, 2)):
+            inside = (lo >= begin - base) & (lo + half <= begin - base + size)
+            lo = np.where(inside, lo, 0)
+            sides.append(np.where(inside, mix64((total[np.minimum(lo + half, len(part))] - total[lo]) * down[lo] + m * np.uint64(2 * salt + 1)), np.uint64(0)).view(np.int64))
+        yield text, begin - off[text], size, m.view(np.int64), begin, *sides
 
 
-def block_table(docs: DataFrame, rule: Rule, id_col: str, text_col: str) -> DataFrame:
+TABLE = "k binary, unit int, start int, size int, m long, s binary, l int, r int"
+
+
+def block_table(docs: DataFrame, rule: Rule, id_col: str, text_col: str, marks_only: bool = False) -> DataFrame:
+    """The blocks of every text; s is 128 bits of the block's own bytes (or word codes). With
+    `marks_only` just m, for counting."""
     base = docs.select(F.unhex(row_key(id_col, text_col)).alias("k"), F.col(text_col).alias("_t"))
+    names = [x.split()[0] for x in TABLE.split(", ")]
+    low = lambda v: pa.array((v & 0xFFFFFFFF).astype(np.uint32).view(np.int32))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in packs(batches, "_t"):
             off, data = bytes_of(col(b, "_t"))
-            raw = data.tobytes()
-            for text, start, size, m, at in blocks_of(data, off, rule):
-                s = [hashlib.blake2b(raw[a : a + n], digest_size=16).digest() for a, n in zip(at.tolist(), size.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([col(b, "k").take(pa.array(text)), pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(m), pa.array(s, pa.binary())], ["k", "start", "size", "m", "s"])
-
-    return base.mapInArrow(run, "k binary, start int, size int, m long, s binary")
+            kinds = [(BYTES, BYTE[data], off, data.tobytes(), 1, rule.length, rule.gram)]
+            if rule.words:
+                codes, woff = words_of(data, off)
+                kinds.append((WORDS, codes, woff, codes.tobytes(), 8, rule.words, rule.word_gram))
+            for unit, x, o, raw, wide, length, gram in kinds:
+                for text, start, size, m, at, left, right in blocks_of(x, o, length, gram, not marks_only):
+                    m = mix64(m.view(np.uint64) + np.uint64(unit)).view(np.int64)
+                    if marks_only:
+                        yield pa.RecordBatch.from_arrays([pa.array(m)], ["m"])
+                        continue
+                    s = [hashlib.blake2b(raw[a * wide : (a + n) * wide], digest_size=16).digest() for a, n in zip(at.tolist(), size.tolist(), strict=True)]
+                    own = np.frombuffer(b"".join(s), np.int64)[::2]  # a half that isn't there is like no other
+                    columns = [col(b, "k").take(pa.array(text)), pa.array(np.full(len(m), unit, np.int32)), pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(m), pa.array(s, pa.binary())]
+                    yield pa.RecordBatch.from_arrays([*columns, *(low(np.where(v == 0, own, v)) for v in (left, right))], names)
+
+    return base.mapInArrow(run, "m long" if marks_only else TABLE)
 
 
 def kasai(data: np.ndarray, words: np.ndarray, sa: np.ndarray, rank: np.ndarray, begin: np.ndarray, size: np.ndarray, cap: int) -> np.ndarray:
@@ -163,20 +235,23 @@ def runs_of(starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     return starts[np.concatenate([[0], cut + 1])], starts[np.concatenate([cut, [len(starts) - 1]])] + length
 
 
-def fingerprints(block: bytes, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """128 bits of each window of a block, from two polynomial hashes."""
-    x = BYTE[np.frombuffer(block, np.uint8)]
+def fingerprints(x: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of each window of `length` codes, from two polynomial hashes."""
     out = []
-    for base in (PRIME, 0x9E3779B97F4A7C15):
-        power = np.cumprod(np.full(2 * length, base, np.uint64))  # a block is shorter than two windows
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(x * power[::-1][: len(x)])])
-        # sum of x[i] base^(2 length - i) over the window, times base^start, so that places don't matter
-        part = total[length:] - total[:-length]
-        out.append(mix64(part * power[: len(part)]))
+    for base in BASES:
+        total, down = running(x, base)
+        out.append(mix64((total[length:] - total[:-length]) * down[: max(0, len(x) - length + 1)]))
     return out[0], out[1]
 
 
+def places_of(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """begin, begin + 1, ... n places from each begin."""
+    return np.repeat(begin, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+
+
+CONTENT = "m long, shard int, shards int, s binary, block binary, k binary, k2 binary, at int, h1 long, h2 long"
 MARKS = "s binary, a int, b int, m long, cut int, f1 binary, f2 binary, owner binary, at binary, names binary"
+SPAN = "s binary, a int, b int"
 
 
 def mark_row(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
@@ -184,41 +259,51 @@ def mark_row(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
 
-def removed_spans(docs: DataFrame, rule: Rule, id_col: str, text_col: str) -> DataFrame:
-    """(k, spans): for each row key with repeats the byte spans (a, b) to remove; they may overlap."""
-    table = written(block_table(docs, rule, id_col, text_col))
-    # counts are written before they are joined: then the join deals both sides itself and can split
-    # a minimiser that very many windows share
-    often = written(table.groupBy("m").agg(F.count("*").alias("c")).where("c > 1").select("m"))
-    shared = written(table.join(often, "m"))
-    each = written(shared.groupBy("m", "s").agg(F.count("*").alias("n"), F.min(F.struct("k", "start", "size")).alias("at")))
-    crowd = written(each.groupBy("m").agg(F.count("*").alias("d")).where("d > 1"))
-    fetch = each.join(crowd, "m").select(F.col("at.k").alias("k"), F.struct(F.col("at.start").alias("start"), F.col("at.size").alias("size"), "m", "s", F.ceil(F.col("d") / rule.most).cast("int").alias("shards")).alias("x"))
-    asked = fetch.groupBy("k").agg(F.collect_list("x").alias("x"))  # the blocks of one text
+def asked_content(docs: DataFrame, asked: DataFrame, rule: Rule, id_col: str, text_col: str) -> DataFrame:
+    """The bytes of the blocks that are asked for, and of blocks of words the windows' hashes."""
     texts = docs.select(F.unhex(row_key(id_col, text_col)).alias("k"), F.col(text_col).alias("_t")).join(asked, "k")
+    names = [x.split()[0] for x in CONTENT.split(", ")]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), *[pa.binary()] * 4, pa.int32(), pa.int64(), pa.int64()]
+
+    def batch(n: int, **columns: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([columns.get(c, pa.nulls(n, kind)) for c, kind in zip(names, kinds, strict=True)], names)
 
-    def content(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in packs(batches, "_t"):
-            for t, x in zip(col(b, "_t").to_pylist(), col(b, "x").to_pylist(), strict=True):
-                raw = t.encode("utf-8", "surrogatepass")
-                shard = [int.from_bytes(y["s"][:4], "little") % y["shards"] for y in x]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([y["m"] for y in x], pa.int64()),
-                        pa.array(shard, pa.int32()),
-                        pa.array([y["shards"] for y in x], pa.int32()),
-                        pa.array([y["s"] for y in x], pa.binary()),
-                        pa.array([raw[y["start"] : y["start"] + y["size"]] for y in x], pa.binary()),
-                    ],
-                    ["m", "shard", "shards", "s", "block"],
-                )
-
-    sharded = texts.mapInArrow(content, "m long, shard int, shards int, s binary, block binary").repartition("m", "shard").sortWithinPartitions("m", "shard", "s")
+            off, data = bytes_of(col(b, "_t"))
+            raw = data.tobytes()
+            lists = col(b, "x")
+            x = pa.RecordBatch.from_struct_array(lists.flatten())
+            text = np.repeat(np.arange(b.num_rows), lists.value_lengths().to_numpy())
+            unit, start, size = (col(x, c).to_numpy() for c in ("unit", "start", "size"))
+            mine = np.flatnonzero(unit == BYTES)
+            if len(mine):
+                some = x.take(pa.array(mine))
+                begin = off[text[mine]] + start[mine]
+                shards = col(some, "shards")
+                shard = [int.from_bytes(s[:4], "little") % n for s, n in zip(col(some, "s").to_pylist(), shards.to_pylist(), strict=True)]
+                block = [raw[a : a + n] for a, n in zip(begin.tolist(), size[mine].tolist(), strict=True)]
+                yield batch(len(mine), m=col(some, "m"), shard=pa.array(shard, pa.int32()), shards=shards, s=col(some, "s"), block=pa.array(block, pa.binary()))
+            mine = np.flatnonzero(unit == WORDS)
+            if len(mine):
+                codes, woff = words_of(data, off)
+                h1, h2 = fingerprints(codes, rule.words)
+                n = size[mine].astype(np.int64) - rule.words + 1
+                at = places_of(woff[text[mine]] + start[mine], n)
+                who = pa.array(np.repeat(mine, n))
+                yield batch(len(at), s=col(x, "s").take(who), k=col(b, "k").take(pa.array(np.repeat(text[mine], n))), k2=col(x, "k2").take(who), at=pa.array(places_of(np.zeros(len(n), np.int64), n).astype(np.int32)), h1=pa.array(h1[at].view(np.int64)), h2=pa.array(h2[at].view(np.int64)))
+
+    return texts.mapInArrow(run, CONTENT)
+
+
+def found_in_shards(content: DataFrame, rule: Rule) -> DataFrame:
+    """(s, a, b): the spans of blocks whose windows another block of their minimiser has too."""
+    sharded = content.repartition("m", "shard").sortWithinPartitions("m", "shard", "s")
     names = [x.split()[0] for x in MARKS.split(", ")]
 
     def search(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
-        for (m, _, _, s, _), starts in zip(rows, repeated_windows([r[4] for r in rows], rule), strict=True):
+        for (_, _, _, s, _), starts in zip(rows, repeated_windows([r[4] for r in rows], rule), strict=True):
             out += [(s, int(a), int(b), None, None, None, None, None, None, None) for a, b in zip(*runs_of(starts, rule.length), strict=True)]
         hot: dict[tuple[int, int], list[tuple]] = {}
         for r in rows:
@@ -226,16 +311,17 @@ def removed_spans(docs: DataFrame, rule: Rule, id_col: str, text_col: str) -> Da
                 hot.setdefault((r[0], r[1]), []).append(r)
         for (m, _), group in hot.items():
             cuts = group[0][2]
-            prints = [fingerprints(r[4], rule.length) for r in group]
+            prints = [fingerprints(BYTE[np.frombuffer(r[4], np.uint8)], rule.length) for r in group]
             f1, f2 = (np.concatenate([p[i] for p in prints]) for i in (0, 1))
             owner = np.repeat(np.arange(len(group), dtype=np.uint32), [len(p[0]) for p in prints])
             at = np.concatenate([np.arange(len(p[0]), dtype=np.uint32) for p in prints])
             order = np.argsort(f1, kind="stable")
             f1, f2, owner, at = f1[order], f2[order], owner[order], at[order]
             borders = np.searchsorted(f1, np.array([(i << 64) // cuts for i in range(1, cuts)], np.uint64))
-            every = b"".join(r[3] for r in group)
             for i, (lo, hi) in enumerate(zip([0, *borders], [*borders, len(f1)], strict=True)):
-                out.append((None, None, None, m, i, *(v[lo:hi].tobytes() for v in (f1, f2, owner, at)), every))
+                who, owned = np.unique(owner[lo:hi], return_inverse=True)  # only the names that this cut needs
+                every = b"".join(group[x][3] for x in who.tolist())
+                out.append((None, None, None, m, i, f1[lo:hi].tobytes(), f2[lo:hi].tobytes(), owned.astype(np.uint32).tobytes(), at[lo:hi].tobytes(), every))
         if out:
             yield mark_row(out, names)
 
@@ -270,11 +356,49 @@ def removed_spans(docs: DataFrame, rule: Rule, id_col: str, text_col: str) -> Da
         columns = list(zip(*rows, strict=True)) or [(), (), ()]
         return pa.table([pa.array(columns[0], pa.binary()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int32())], names=["s", "a", "b"])
 
-    merged = marks.where("cut is not null").select("m", "cut", "f1", "f2", "owner", "at", "names").groupBy("m", "cut").applyInArrow(merge, "s binary, a int, b int")
-    whole = each.where("n > 1").select("s", F.lit(0).alias("a"), F.col("at.size").alias("b"))
-    cover = marks.where("s is not null").select("s", "a", "b").unionByName(merged).unionByName(whole)
-    spans = shared.select("k", "start", "s").join(cover, "s").select("k", (F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b")).alias("b"))
-    return spans.groupBy("k").agg(F.collect_set(F.struct("a", "b")).alias("spans"))  # of one text; equal rows count once
+    merged = marks.where("cut is not null").select("m", "cut", "f1", "f2", "owner", "at", "names").groupBy("m", "cut").applyInArrow(merge, SPAN)
+    return marks.where("s is not null").select("s", "a", "b").unionByName(merged)
+
+
+def removed_spans(docs: DataFrame, rule: Rule, id_col: str, text_col: str) -> DataFrame:
+    """(k, spans): for each row key with repeats the spans (unit, a, b): of bytes to remove, and of
+    words that another row has too. They may overlap."""
+    # the blocks are cut twice, which is cheaper than to keep them all: most occur once. Counts are
+    # written before they are joined: then the join deals both sides itself and can split a minimiser
+    # that very many windows share
+    often = written(block_table(docs, rule, id_col, text_col, marks_only=True).groupBy("m").agg(F.count("*").alias("c")).where("c > 1").select("m"))
+    shared = written(block_table(docs, rule, id_col, text_col).join(often, "m"))
+    release(often)
+    each = written(
+        shared.groupBy("m", "s").agg(
+            F.count("*").alias("n"), F.min("k").alias("k"), F.max("k").alias("k2"), F.min(F.struct("k", "start", "size", "unit", "l", "r")).alias("at")
+        )
+    )
+    crowd = written(each.groupBy("m").agg(F.count("*").alias("d")).where("d > 1").select("m"))
+    # a shared window lies to a half at least on one side of the minimiser
+    half = lambda side: F.xxhash64("m", "at.unit", side, F.lit(side))
+    crowded = written(each.join(crowd, "m").select("m", "s", "k2", "at.*", half("at.l").alias("hl"), half("at.r").alias("hr")).drop("l", "r"))
+    twins = written(crowded.select(F.explode(F.array("hl", "hr")).alias("h")).groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"))
+    marked = crowded
+    for side in ("hl", "hr"):
+        marked = marked.join(twins.select(F.col("h").alias(side), F.lit(True).alias(f"twin_{side}")), side, "left")
+    alike = written(marked.where("twin_hl or twin_hr").select("m", "s", "k", "k2", "start", "size", "unit"))
+    sizes = written(alike.groupBy("m").agg(F.ceil(F.count("*") / rule.most).cast("int").alias("shards")))
+    release(crowd, crowded, twins)
+    fetch = alike.join(sizes, "m").select("k", F.struct("unit", "start", "size", "m", "s", "shards", "k2").alias("x"))
+    asked = fetch.groupBy("k").agg(F.collect_list("x").alias("x"))  # the blocks of one text
+    content = written(asked_content(docs, asked, rule, id_col, text_col))
+    release(alike, sizes)
+
+    whole = each.where(F.when(F.col("at.unit") == BYTES, F.col("n") > 1).otherwise(F.col("k") != F.col("k2")))
+    cover = found_in_shards(content.where("block is not null").select("m", "shard", "shards", "s", "block"), rule).unionByName(whole.select("s", F.lit(0).alias("a"), F.col("at.size").alias("b")))
+    if rule.words:
+        windows = content.where("h1 is not null").select("h1", "h2", "k", "k2", "s", "at")
+        common = written(windows.groupBy("h1", "h2").agg(F.min("k").alias("k"), F.max("k2").alias("k2")).where("k <> k2").select("h1", "h2"))
+        hits = windows.join(common, ["h1", "h2"]).select("s", F.col("at").alias("a"), (F.col("at") + rule.words).alias("b")).distinct()
+        cover = cover.unionByName(hits)
+    spans = shared.select("k", "unit", "start", "s").join(cover, "s").select("k", "unit", (F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b")).alias("b"))
+    return spans.groupBy("k").agg(F.collect_set(F.struct("unit", "a", "b")).alias("spans"))  # of one text; equal rows count once
 
 
 def merged_spans(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -288,33 +412,42 @@ def merged_spans(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def remove_repeats(docs: DataFrame, rule: Rule | None = None, id_col: str = "doc_id", text_col: str = "text", texts: bool = False) -> DataFrame:
-    """Per row: id_col, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the remaining bytes, if
-    `texts`). A byte goes if a `length`-byte string that covers it also starts at another place, in
-    this or any other row's text.
+    """Per row: id_col, n_bytes, n_removed, n_spans, kept_sha256 (n_passage_words, if rule.words; and
+    kept, the remaining bytes, if `texts`). A byte goes if a `length`-byte string that covers it also
+    starts at another place, in this or any other row's text. n_passage_words counts the words in runs
+    of rule.words words that a row with another id or text has too; nothing goes for them.
 
     Null counts as empty. Shorter texts lose nothing. Repeated rows are copies of each other, so each
-    loses all of its bytes if it has `length` at least. Rows with equal ids and different texts are
-    apart; a null id stays null.
+    loses all of its bytes if it has `length` at least, but they are one row to n_passage_words. Rows
+    with equal ids and different texts are apart; a null id stays null. Other columns of docs, however
+    they are called, are not read.
     """
     rule = rule or Rule()
     spans = removed_spans(docs, rule, id_col, text_col)
     base = docs.select(F.unhex(row_key(id_col, text_col)).alias("k"), F.col(id_col).alias("_id"), F.col(text_col).alias("_t"))
-    joined = base.join(spans, "k", "left").select("_id", "_t", F.transform("spans", lambda x: x["a"]).alias("a"), F.transform("spans", lambda x: x["b"]).alias("b"))
-    names = [id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256"] + (["kept"] if texts else [])
+    joined = base.join(spans, "k", "left").select("_id", "_t", *(F.col(f"spans.{c}").alias(c) for c in ("unit", "a", "b")))
+    numbers = ["n_bytes", "n_removed", "n_spans"]
+    extra = [("n_passage_words", "long", pa.int64())] * bool(rule.words) + [("kept", "binary", pa.binary())] * texts
+    names = [id_col, *numbers, "kept_sha256", *(x[0] for x in extra)]
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in packs(batches, "_t"):
-            out = []
-            for t, a, b in zip(texts_of(x, "_t"), col(x, "a"), col(x, "b"), strict=True):
-                raw, gone, n = t.encode("utf-8", "surrogatepass"), 0, 0
+            out: dict[str, list] = {n: [] for n in names[1:]}
+            for t, unit, a, b in zip(texts_of(x, "_t"), *(col(x, c) for c in ("unit", "a", "b")), strict=True):
+                raw, gone, n, words = t.encode("utf-8", "surrogatepass"), 0, 0, 0
                 kept = raw
-                if a.is_valid:
-                    lo, hi = merged_spans(a.values.to_numpy(), b.values.to_numpy())
+                if unit.is_valid:
+                    unit, a, b = (v.values.to_numpy() for v in (unit, a, b))
+                    lo, hi = merged_spans(a[unit == WORDS], b[unit == WORDS])
+                    words = int((hi - lo).sum())
+                    lo, hi = merged_spans(a[unit == BYTES], b[unit == BYTES])
                     gone, n = int((hi - lo).sum()), len(lo)
                     kept = b"".join(raw[p:q] for p, q in zip([0, *hi.tolist()], [*lo.tolist(), len(raw)], strict=True))
-                out.append((len(raw), gone, n, hashlib.sha256(kept).hexdigest(), kept))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([col(x, "_id"), *(pa.array(c, k) for c, k in list(zip(zip(*out, strict=True), kinds, strict=True))[: len(names) - 1])], names)
+                row = {"n_bytes": len(raw), "n_removed": gone, "n_spans": n, "kept_sha256": hashlib.sha256(kept).hexdigest(), "n_passage_words": words, "kept": kept}
+                for c in out:
+                    out[c].append(row[c])
+            kinds = [*[pa.int64()] * 3, pa.string(), *(k for _, _, k in extra)]
+            yield pa.RecordBatch.from_arrays([col(x, "_id"), *(pa.array(out[c], k) for c, k in zip(names[1:], kinds, strict=True))], names)
 
-    schema = f"{id_col} {docs.schema[id_col].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if texts else "")
+    schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + "".join(f", {n} {kind}" for n, kind, _ in extra)
     return joined.mapInArrow(cut, schema)
