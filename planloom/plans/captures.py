@@ -57,7 +57,7 @@ def reconstructed(rows: DataFrame, floors: DataFrame, least_support: int = 4, wa
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         a = arrays(part)
-        again = part["doc"].dropna().head(1).tolist() if saved is not None else []
+        again = part["doc"].dropna().head(1).tolist() if "doc" in part else []
         found = json.loads(again[0]) if again else walls.reconstruct(a["wall"], a["wall_support"], a["path"], least_support, wall_params)
         turn = lambda xz: walls.rotated(xz, found["angle"])
         nodes = np.array([(n["u"], n["v"]) for n in found["graph"]["nodes"]]).reshape(-1, 2)

@@ -39,10 +39,10 @@ class FrameReader(DataSourceReader):
     def partitions(self) -> list[Video]:
         return [Video(p) for p in self.paths]
 
-    def read(self, partition: Video) -> Iterator[tuple]:
-        capture, size = partition.path.rstrip("/").split("/")[-2] if "/" in partition.path else "", self.height * self.width * 3
-        if not available():
+    def read(self, partition: Video | None) -> Iterator[tuple]:
+        if partition is None or not available():  # no videos, or nothing to decode them with
             return
+        capture, size = partition.path.rstrip("/").split("/")[-2] if "/" in partition.path else "", self.height * self.width * 3
         picked = rf"select=not(mod(n\,{self.stride})),scale={self.width}:{self.height}"
         run = subprocess.Popen(["ffmpeg", "-v", "error", "-i", partition.path, "-vf", picked, "-vsync", "0", "-f", "rawvideo", "-pix_fmt", "rgb24", "-"], stdout=subprocess.PIPE)
         try:
