@@ -62,6 +62,24 @@ def dominant_provenance(pieces: DataFrame, keys: list[str], length: str = "lengt
     return top.select(*keys, F.col(f"_t.{provenance}").alias(provenance), F.col("_t.total").alias("total"))
 
 
+def region_label(within: Column, inset: Column, run: Column, height: Column, long: float = 1.2, low: float = 1.0, far: tuple[float, float] = (0.3, 0.7)) -> tuple[Column, Column]:
+    """What a region of cells in a single room is, and why: the first rule that holds, by how far it lies
+    from the nearest wall line, how long it runs and how high it reaches."""
+    # Labels and the names of their rules.
+    cases = [
+        (~within, "noise_or_ghost", "beyond_nearest_wall_line"),
+        ((inset <= 0.10) & (run >= long), "wall", "long_run_aligned_to_manhattan"),
+        (inset <= 0.10, "tall_furniture", "run_below_min_run"),
+        (inset.between(*far) & (run >= long), "suspected_occluder", "long_flat_inset_from_wall_line"),
+        (height <= low, "low_furniture", "only_below_furniture_height"),
+        (run < long, "tall_furniture", "run_below_min_run"),
+    ]
+    label, rule = F.lit("noise_or_ghost"), F.lit("unexplained_region")
+    for holds, name, why in reversed(cases):
+        label, rule = F.when(holds, name).otherwise(label), F.when(holds, why).otherwise(rule)
+    return label, rule
+
+
 def weighted_offset(pieces: DataFrame, keys: list[str], offset: str = "offset", length: str = "length") -> DataFrame:
     """The length-weighted mean offset of each cluster of pieces, their number and total length."""
     out = pieces.groupBy(*keys).agg(F.sum(F.col(offset) * F.col(length)).alias("_s"), F.count("*").alias("pieces"), F.sum(length).alias("length"))

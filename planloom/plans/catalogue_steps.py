@@ -316,6 +316,16 @@ def backed_closures(spark, d):
     return joins.backed_share(wall_lines(spark, d), e, [], "s_suppkey", "off", "a", "b", "u", "v", 0.5, 0.4)
 
 
+@query("""SELECT o_orderkey, CASE WHEN NOT within THEN 'noise_or_ghost' WHEN inset <= 0.1 AND run >= 1.2 THEN 'wall' WHEN inset <= 0.1 THEN 'tall_furniture' WHEN inset BETWEEN 0.3 AND 0.7 AND run >= 1.2 THEN 'suspected_occluder'
+WHEN height <= 1 THEN 'low_furniture' WHEN run < 1.2 THEN 'tall_furniture' ELSE 'noise_or_ghost' END AS label, CASE WHEN NOT within THEN 'beyond_nearest_wall_line' WHEN inset <= 0.1 AND run >= 1.2 THEN 'long_run_aligned_to_manhattan' WHEN inset <= 0.1 THEN 'run_below_min_run'
+WHEN inset BETWEEN 0.3 AND 0.7 AND run >= 1.2 THEN 'long_flat_inset_from_wall_line' WHEN height <= 1 THEN 'only_below_furniture_height' WHEN run < 1.2 THEN 'run_below_min_run' ELSE 'unexplained_region' END AS rule
+FROM (SELECT o_orderkey, o_orderstatus <> 'P' AS within, o_custkey % 11 / 10.0::DOUBLE AS inset, o_orderkey % 25 / 10.0::DOUBLE AS run, o_totalprice / 200000 AS height FROM orders)""")
+def region_labels(spark, d):
+    o, n = table(spark, d, "orders"), F.col
+    label, rule = rules.region_label(n("o_orderstatus") != "P", n("o_custkey") % 11 / 10.0, n("o_orderkey") % 25 / 10.0, n("o_totalprice") / 200000)
+    return o.select("o_orderkey", label.alias("label"), rule.alias("rule"))
+
+
 @query("""SELECT l_suppkey AS wall, round(sum(l_extendedprice * l_quantity) / sum(l_quantity), 4) AS off, count(*) AS pieces, round(sum(l_quantity), 4) AS length FROM lineitem GROUP BY 1""")
 def weighted_offsets(spark, d):
     """The offset of a cluster of collinear pieces: their mean, weighted by length."""

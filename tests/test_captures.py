@@ -237,3 +237,16 @@ def test_cli(tmp_path, capsys):
     p.write_text(json.dumps({"openings": [{"id": "o", "kind": "gate"}]}))
     assert cli.main(["validate", str(p)]) == 1 and "gate" in capsys.readouterr().out
     assert cli.main(["nothing"]) == 2
+
+
+def test_single_rooms(spark, two_captures):
+    from planloom.plans import single
+
+    points, camera, levels, _ = two_captures
+    docs = single.outlined(points, camera, levels, samples=12).persist()
+    rows = {r["capture_id"]: json.loads(r["doc"]) for r in docs.collect()}
+    assert set(rows) == {"a", "b"} and rows["a"] == rows["b"] and rows["a"]["status"] == "computed"
+    assert rows["a"]["area"][0] == pytest.approx(12, abs=0.7) and rows["a"]["camera_inside"] == 1.0
+    labelled = [r.asDict() for r in single.regions(docs.where("capture_id = 'a'")).collect()]
+    assert labelled and {r["label"] for r in labelled} <= set(single.FILLS)
+    assert single.outline_svg(rows["a"], labelled).count("<line") == len(rows["a"]["ring"])

@@ -269,3 +269,65 @@ def test_box_of_a_cluttered_room():
     assert any(0.65 <= d["width"] <= 1.05 for d in r["doors"])
     assert box.fit(points[:50], cam, lo, hi)["warnings"]
     assert abs((box.orientation(box.wall_cells(points, lo, hi)) - r["angle"] + 45) % 90 - 45) < 6
+
+
+# ---- the outline of a single room ------------------------------------------------------------
+
+
+def l_shaped_floor(step=0.04):
+    g = np.stack(np.meshgrid(np.arange(0.4, 5.6, step), np.arange(-1.0, 3.2, step)), -1).reshape(-1, 2)
+    return g[~((g[:, 0] > 3.4) & (g[:, 1] > 1.2))]
+
+
+def test_footprint_of_an_l():
+    from planloom.kernels import outline
+
+    rng = np.random.default_rng(2)
+    floor = np.concatenate([l_shaped_floor(), rng.uniform((9, 9), (12, 12), (20, 2))])  # a far island of strays
+    floor = floor[~((np.abs(floor[:, 0] - 2) < 0.25) & (np.abs(floor[:, 1] - 1) < 0.25))]  # a hole under a table
+    ring = outline.footprint(floor)
+    assert len(ring) == 6 and polygons.area(ring) == pytest.approx(5.2 * 4.2 - 2.2 * 2.0, rel=0.06)
+    assert outline.footprint(floor[:3]) is None and outline.footprint(floor[:40]) is None
+
+
+def test_rings_by_wall_lines():
+    from planloom.kernels import outline
+
+    crooked = np.array([(0.1, -0.1), (4.9, 0.2), (5.1, 3.0), (2.0, 3.2), (2.1, 1.5), (-0.1, 1.4)])
+    us, vs = [0.0, 5.0], [0.0, 3.1]
+    assert (outline.snapped(crooked, us, vs, 0.3)[:3] == [(0, 0), (5, 0), (5, 3.1)]).all()
+    square = outline.orthogonal(crooked, us, vs, 0.3)
+    d = np.roll(square, -1, 0) - square
+    assert len(square) == 6 and ((d[:, 0] == 0) ^ (d[:, 1] == 0)).all() and polygons.area(square) == pytest.approx(5 * 1.45 + 2.95 * 1.65, abs=0.2)
+    assert len(outline.fewer_edges(crooked, 5)) == 5 and len(outline.fewer_edges(crooked, 2)) == 4
+    turned = outline.counter_clockwise(crooked[::-1])
+    assert {tuple(x) for x in turned} == {tuple(x) for x in crooked} and (turned == outline.counter_clockwise(turned)).all()
+    assert outline.support_span(np.array([(0.0, 1.0), (0.03, 2.5), (1.0, 9.0)]), 0, 0.01) == (1.0, 2.5)
+    assert [outline.beyond((1.0, 2.5), x) for x in (0.5, 2.0, 3.0)] == [0.5, 0.0, 0.5] and outline.beyond(None, 1.0) is None
+    assert outline.half_width(0.03, 4.0, "observed", 0.0) == pytest.approx(0.05) and outline.half_width(0.03, 4.0, "unobserved", 0.0) == pytest.approx(0.10)
+
+
+def test_a_wardrobe_hides_the_wall():
+    from planloom.kernels import outline
+
+    uv = np.concatenate([line(*x) for x in HALL] + [line(0, 3.8, 1.0, 2.9)])
+    lines = {"u_min": -1.3, "u_max": 3.8, "v_min": 0.6, "v_max": 3.8}
+    assert outline.hidden_sides(uv, lines) == ["u_max"]
+    assert outline.hidden_sides(uv, lines | {"u_max": 4.3}) == []
+
+
+def test_outline_of_a_cluttered_room():
+    from planloom.kernels import outline
+
+    points, cam, lo, hi = cluttered_room()
+    rng = np.random.default_rng(1)
+    floor = rng.uniform((0, lo, 0), (5.2, lo, 2.9), (9000, 3))
+    c, s = np.cos(np.radians(34)), np.sin(np.radians(34))
+    r = outline.fit(np.concatenate([points, floor @ np.array([[c, 0, s], [0, 1, 0], [-s, 0, c]]).T]), cam, lo, hi, samples=30)
+    area, low, high = r["area"]
+    assert r["status"] == "computed" and area == pytest.approx(15.08, rel=0.05) and low <= area <= high
+    assert r["camera_inside"] == 1.0 and len(r["edges"]) == 4 and r["ceiling"] == pytest.approx(2.5)
+    assert sum(e["length"] for e in r["edges"]) == pytest.approx(16.2, rel=0.05) and all(e["half"] > 0 for e in r["edges"])
+    assert r["regions"] and any(x["height"] < 0.8 for x in r["regions"])
+    bare = outline.fit(points[:60], cam, lo, hi)
+    assert bare["status"] == "unavailable" and bare["warnings"]
