@@ -84,12 +84,37 @@ def copies(words):
     return list(enumerate(texts))
 
 
-@pytest.mark.parametrize("block", [1024, 4])
-def test_copy_groups(make_docs, copies, block):
-    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in rows(forest.copy_groups(make_docs(copies), forest.Forest(block=block)))}
+@pytest.mark.parametrize("kw", [{}, {"block": 4}, {"few": 0}, {"few": 100}, {"block": 2, "few": 0}])
+def test_copy_groups(make_docs, copies, kw):
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in rows(forest.copy_groups(make_docs(copies), forest.Forest(**kw)))}
     assert got == plain_groups(copies)
 
 
+@pytest.mark.parametrize("kw", [{"block": 8}, {"block": 3, "few": 2}])
+def test_stars(make_docs, words, kw):
+    """A crowd around one text: at all distances, some within half of the allowed one."""
+    base = words(200, 5)
+    docs = [base, base, *(edited(base, k % 9, 40 + k) for k in range(40)), *(edited(base, 20, 400 + k) for k in range(8)), words(150, 6)]
+    docs = list(enumerate(docs))
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in rows(forest.copy_groups(make_docs(docs), forest.Forest(**kw)))}
+    assert got == plain_groups(docs)
+
+
+def test_recall_of_the_tries():
+    """Of pairs at the threshold the tries bring together as many as wanted, the statistic for giving up included."""
+    r = np.random.default_rng(6)
+    cfg = forest.Forest()
+    pool = r.integers(0, 2**63, (4000, 2, 100)).astype(np.uint64)
+    met = 0
+    for x in pool:
+        common = x[0, :80]
+        sets = [np.concatenate([common, x[0, 80:90]]), np.concatenate([common, x[1, 80:90]])]  # 80 of 100
+        a, b = (forest.signatures(v, np.array([0, len(v)]), cfg)[0].astype(np.int64) for v in sets)
+        same = (a == b).reshape(cfg.trees, cfg.deepest)
+        met += same[:, : cfg.depth()].all(1).any() and same.sum() >= cfg.least_equal()
+    assert met >= 0.999 * len(pool)
+
+
 def test_parts_of_a_group_are_compared_too(monkeypatch):
     r = np.random.default_rng(0)
     base = r.integers(0, 2**63, 300).astype(np.uint64)
@@ -97,13 +122,13 @@ def test_parts_of_a_group_are_compared_too(monkeypatch):
     cfg = forest.Forest()
     sig = [forest.signatures(x, np.array([0, len(x)]), cfg)[0].tobytes() for x in sets]
     n = len(sets)
-    g = pa.table({"t": [0] * n, "p": [0] * n, "i": [0] * n, "j": [0] * n, "block": [0] * n, "sig": pa.array(sig, pa.binary()), "shingles": pa.array([x.tobytes() for x in sets], pa.binary())})
-    whole = forest.linked(g, cfg)
+    g = pa.table({"t": [0] * n, "p": [0] * n, "i": [0] * n, "j": [0] * n, "block": [0] * n, "star": pa.array([None] * n, pa.binary()), "sig": pa.array(sig, pa.binary()), "shingles": pa.array([x.tobytes() for x in sets], pa.binary())})
+    whole = forest.linked(g, cfg)[0]
     want = [[a != b and len(np.intersect1d(x, y)) >= 0.8 * len(np.union1d(x, y)) for b, y in enumerate(sets)] for a, x in enumerate(sets)]
-    assert (whole == (np.array(want) & forest.likely(g, cfg))).all() and whole.any()
+    assert (whole == (np.array(want) & forest.likely(g, cfg)[0])).all() and whole.any()
     for most in (100, 700, 2000):
         monkeypatch.setattr(forest, "MOST_SHINGLES", most)
-        assert (forest.linked(g, cfg) == whole).all()
+        assert (forest.linked(g, cfg)[0] == whole).all()
 
 
 def test_one_of_each_group_stays(make_docs, copies):
@@ -166,6 +191,44 @@ def test_kept_bytes(make_docs, pasted):
         assert hashlib.sha256(r["kept"]).hexdigest() == r["kept_sha256"]
 
 
+def plain_passages(texts, n):
+    """Words of each text in runs of n words that a different row's text has too."""
+    words = [(t or "").encode().split() for t in texts]
+    own = collections.defaultdict(set)
+    for k, w in enumerate(words):
+        for i in range(len(w) - n + 1):
+            own[tuple(w[i : i + n])].add(k)
+    out = []
+    for w in words:
+        hit = np.zeros(len(w), bool)
+        for i in range(len(w) - n + 1):
+            if len(own[tuple(w[i : i + n])]) > 1:
+                hit[i : i + n] = True
+        out.append(int(hit.sum()))
+    return out
+
+
+@pytest.mark.parametrize(("n", "gram"), [(20, 8), (12, 2), (9, 4)])
+def test_passages_of_other_rows(make_docs, words, pasted, n, gram):
+    u, p, v, w, z = (words(3 * n, 900 + i) for i in range(5))
+    pasted = [*pasted, " ".join((u, p, v, w, p, z)), " ".join((w, p, z))]  # an own repeat that another row has too
+    texts = [*pasted, "the " * 300, "x the " + "the " * n + "y", "the " * (n - 1), pasted[3].replace(" ", "\n", 7)]
+    rule = repeats.Rule(length=60, gram=8, words=n, word_gram=gram)
+    got = {r["doc_id"]: r["n_passage_words"] for r in rows(repeats.remove_repeats(make_docs(texts), rule))}
+    assert [got[k] for k in range(len(texts))] == plain_passages(texts, n)
+
+
+def test_words_and_their_texts():
+    texts = [b"", b"one", b" two  three\tfour", b"", b"five six ", b"\x0b\r\n"]
+    off = np.cumsum([0, *map(len, texts)])
+    codes, woff = repeats.words_of(np.frombuffer(b"".join(texts), np.uint8), off)
+    want = [w for t in texts for w in t.split()]
+    assert np.diff(woff).tolist() == [len(t.split()) for t in texts] and len(codes) == len(want)
+    assert len(set(codes.tolist())) == len(set(want))
+    again, _ = repeats.words_of(np.frombuffer(b"three", np.uint8), np.array([0, 5]))
+    assert again[0] == codes[2]
+
+
 def test_windows_by_suffix_array():
     r = random.Random(4)
     rule = repeats.Rule(length=40, gram=8)
@@ -184,7 +247,7 @@ def test_fingerprints_tell_windows_apart():
     blocks = [bytes(r.choice(b"ab") for _ in range(80)) for _ in range(50)]
     prints = {}
     for b in blocks:
-        for i, key in enumerate(zip(*repeats.fingerprints(b, 40), strict=True)):
+        for i, key in enumerate(zip(*repeats.fingerprints(repeats.BYTE[np.frombuffer(b, np.uint8)], 40), strict=True)):
             assert prints.setdefault(key, b[i : i + 40]) == b[i : i + 40]
     assert len(prints) == len({b[i : i + 40] for b in blocks for i in range(41)})
 
