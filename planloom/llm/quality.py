@@ -9,10 +9,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import col, mix64, packs, texts_of
+from .common import col, fresh, mix64, packs, texts_of, written
 
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 #: Words that say nothing beyond their form are told by these instead of their own hash.
@@ -22,7 +22,8 @@ MOST_CACHED = 200_000
 
 @dataclass(frozen=True)
 class Ftrl:
-    """Settings. `sample` bounds the labelled rows that training reads; all else covers every row."""
+    """Settings. `sample` bounds the labelled rows that training reads, and `most_features` their
+    features in all (12 bytes each on the driver); all else covers every row."""
 
     bits: int = 18
     alpha: float = 0.3
@@ -31,6 +32,7 @@ class Ftrl:
     l2: float = 0.5
     epochs: int = 4
     sample: int = 8192
+    most_features: int = 32_000_000
     threshold: float = 0.7
     scale: float = 8.0
 
@@ -101,32 +103,36 @@ def train_ftrl(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, cf
 
 def fit(docs: DataFrame, labels: DataFrame, cfg: Ftrl, learn_from, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> tuple[np.ndarray, float]:
     """Learns from at most cfg.sample labelled rows for which `learn_from` (a condition on id_col)
-    holds: those whose hashed ids come first, in that order. An id with several labels counts as 1
-    if their mean is at least 0.5; null ids and labels teach nothing. Without any row, the score is
-    0.5 everywhere."""
+    holds: those whose hashed ids come first, in that order, as far as cfg.most_features go. An id
+    with several labels counts as 1 if their mean is at least 0.5; null ids and labels teach nothing,
+    nor do labels without a document. Without any row, the score is 0.5 everywhere."""
     known = (
-        labels.select(F.col(id_col), F.col(label_col).cast("double").alias("_y"))
-        .where(F.col(id_col).isNotNull() & F.col("_y").isNotNull() & learn_from)
-        .groupBy(id_col)
-        .agg(F.avg("_y").alias("_y"))
-        .orderBy(F.xxhash64(id_col), id_col)
+        labels.where(learn_from)
+        .select(F.col(id_col).alias("k"), F.col(label_col).cast("double").alias("y"))
+        .where("k is not null and y is not null")
+        .groupBy("k")
+        .agg(F.avg("y").alias("y"))
+        .orderBy(F.xxhash64("k"), "k")
         .limit(cfg.sample)
     )
-    picked = docs.select(F.col(id_col), F.col(text_col).alias("_t")).join(F.broadcast(known), id_col)  # at most cfg.sample rows
+    picked = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")).join(F.broadcast(known), "k")  # at most cfg.sample ids
 
     def features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Features(cfg.bits)
-        for b in packs(batches, "_t"):
-            f, begin = make.of(texts_of(b, "_t"))
+        for b in packs(batches, "t"):
+            f, begin = make.of(texts_of(b, "t"))
             every = [np.unique(f[lo:hi], return_counts=True) for lo, hi in zip(begin[:-1], begin[1:], strict=True)]
             values = [(n / max(1, n.sum())).astype(np.float32) for _, n in every]
             yield pa.RecordBatch.from_arrays(
-                [col(b, id_col).cast(pa.string()), col(b, "_y"), pa.array([x[0].astype(np.int32) for x in every], pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float32()))],
+                [col(b, "k").cast(pa.string()), col(b, "y"), pa.array([x[0].astype(np.int32) for x in every], pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float32()))],
                 ["k", "y", "f", "x"],
             )
 
-    got = picked.mapInArrow(features, "k string, y double, f array<int>, x array<float>").toArrow()
-    order = sorted(range(got.num_rows), key=lambda i: (zlib.crc32(got["k"][i].as_py().encode()), got["k"][i].as_py()))
+    rows = written(picked.mapInArrow(features, "k string, y double, f array<int>, x array<float>"))
+    # how far the features go: over at most cfg.sample short rows (more only where ids are repeated)
+    so_far = F.sum(F.size("f")).over(Window.orderBy(F.crc32(F.col("k").cast("binary")), "k").rowsBetween(Window.unboundedPreceding, 0))
+    got = rows.join(F.broadcast(rows.select("k", "f").select("k", so_far.alias("n")).groupBy("k").agg(F.max("n").alias("n")).where(F.col("n") <= cfg.most_features).select("k")), "k", "left_semi").toArrow()
+    order = sorted(range(got.num_rows), key=lambda i: (zlib.crc32(got["k"][i].as_py().encode()), got["k"][i].as_py(), zlib.crc32(got["f"][i].values.to_numpy().tobytes())))
     rows = [(got["f"][i].values.to_numpy(), got["x"][i].values.to_numpy().astype(np.float64) * cfg.scale) for i in order]
     return train_ftrl(rows, (got["y"].to_numpy()[order] >= 0.5).astype(np.float64), cfg)
 
@@ -135,19 +141,31 @@ def quality_scores(docs: DataFrame, weights: np.ndarray, bias: float, cfg: Ftrl,
     """The columns `keep` (all if None) with score and predicted (1 if score >= cfg.threshold).
 
     Every whole text is scored. Null and empty texts score as the bias alone; repeated rows each
-    give a row. A column of docs named score or predicted is replaced.
+    give a row. A column of docs named score or predicted is replaced; `passing` keeps them.
     """
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("score", "predicted")]
-    base = docs.select(*[F.col(c) for c in keep], F.col(text_col).alias("_t"))
+    keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in ("score", "predicted")]
+    (t,) = fresh(keep, "text")
+    base = docs.select(*[F.col(c) for c in keep], F.col(text_col).alias(t))
     shared = docs.sparkSession.sparkContext.broadcast(weights)
-    out = [f for f in base.schema.fields if f.name != "_t"]
-    schema = base.select(*[f.name for f in out], F.lit(0.0).alias("score"), F.lit(0).alias("predicted")).schema
+    schema = base.select(*keep, F.lit(0.0).alias("score"), F.lit(0).alias("predicted")).schema
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Features(cfg.bits)
-        for b in packs(batches, "_t"):
-            p = score_texts(make, shared.value, bias, cfg.scale, texts_of(b, "_t"))
-            columns = [col(b, f.name) for f in out] + [pa.array(p), pa.array((p >= cfg.threshold).astype(np.int32))]
+        for b in packs(batches, t):
+            p = score_texts(make, shared.value, bias, cfg.scale, texts_of(b, t))
+            columns = [col(b, c) for c in keep] + [pa.array(p), pa.array((p >= cfg.threshold).astype(np.int32))]
             yield pa.RecordBatch.from_arrays(columns, schema.names)
 
     return base.mapInArrow(run, schema)
+
+
+def passing(docs: DataFrame, weights: np.ndarray, bias: float, cfg: Ftrl, text_col: str = "text") -> DataFrame:
+    """The rows of docs with a score of at least cfg.threshold, all their columns as they are."""
+    shared = docs.sparkSession.sparkContext.broadcast(weights)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make = Features(cfg.bits)
+        for b in packs(batches, text_col):
+            yield b.filter(pa.array(score_texts(make, shared.value, bias, cfg.scale, texts_of(b, text_col)) >= cfg.threshold))
+
+    return docs.mapInArrow(run, docs.schema)
