@@ -4,15 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import col, mix64, packs, texts_of
+from .common import col, fresh, mix64, packs, texts_of
 from .token_counts import CH_E, CH_L, CH_R, CH_V, LET, STMD, char_classes
 
 UNKNOWN = "und"
@@ -20,14 +18,15 @@ UNKNOWN = "und"
 
 @dataclass(frozen=True)
 class Settings:
-    """`sample` bounds the texts per language that clustering reads; document frequencies come from
-    all texts that may be learned from. A text further from every centroid than its language's
+    """`sample` bounds the texts per language that clustering reads, and `longest` the bytes of each of
+    them; document frequencies come from all texts that may be learned from. A text further from every centroid than its language's
     training texts ever were, but for the share `reject`, is marked as rejected."""
 
     bits: int = 13
     sizes: tuple[int, ...] = (2, 3)
     centroids: int = 4
     sample: int = 1024
+    longest: int = 1 << 18
     rounds: int = 8
     reject: float = 0.005
 
@@ -84,9 +83,10 @@ def cluster(x: np.ndarray, k: int, rounds: int) -> np.ndarray:
 
 
 def fit(docs: DataFrame, cfg: Settings, learn_from: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Learns from the rows where `learn_from` holds and language and text are not null."""
+    """Learns from the rows where `learn_from` holds and language and text are not null: document
+    frequencies in one pass, then the centroids of all languages in another."""
     known = docs.where(learn_from & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
-        F.col(id_col).cast("string").alias("k"), F.col(text_col).alias("_t"), F.col(lang_col).cast("string").alias("lang")
+        F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("k"), F.col(text_col).alias("_t"), F.col(lang_col).cast("string").alias("lang")
     )
     dims = 1 << cfg.bits
 
@@ -107,21 +107,24 @@ def fit(docs: DataFrame, cfg: Settings, learn_from: Column, id_col: str = "doc_i
     idf = np.log((1 + n) / (1 + df)).astype(np.float32) + 0.1
     if not n:
         return Model(idf, np.zeros((0, dims), np.float32), [], np.zeros(0))
-    langs = sorted(r["lang"] for r in known.select("lang").distinct().collect())
-    # of each language the ids whose hashes come first; only then their texts
-    ids = [known.where(F.col("lang") == x).select("k", "lang").distinct().orderBy(F.xxhash64("k"), "k").limit(cfg.sample) for x in langs]
-    chosen = reduce(DataFrame.unionByName, ids)  # at most cfg.sample rows a language
-    part = known.join(F.broadcast(chosen), ["k", "lang"]).select("lang", "k", "_t").toArrow().combine_chunks()
-    part = part.sort_by([("lang", "ascending"), ("k", "ascending")])
-    centroids, names, floors = [], [], []
-    for lang in langs:
-        mine = part.filter(pc.equal(part["lang"], lang)).combine_chunks()
-        x = np.concatenate([tfidf(tf_vectors(texts_of(b, "_t"), cfg)[0], idf) for b in packs(mine.to_batches(), "_t", rows=256)])
+    # of each language the ids whose hashes come first; a rank of at most `sample` is kept by every task alone already
+    first = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("k"), "k"))
+    short = known.where(F.octet_length("_t") <= cfg.longest)
+    chosen = short.select("k", "lang").distinct().withColumn("n", first).where(F.col("n") <= cfg.sample).select("k", "lang")
+    picked = short.join(F.broadcast(chosen), ["k", "lang"])  # at most cfg.sample ids a language
+
+    def centroids(part: pa.Table) -> pa.Table:
+        part = part.sort_by([("k", "ascending"), ("_t", "ascending")]).combine_chunks()
+        x = np.concatenate([tfidf(tf_vectors(texts_of(b, "_t"), cfg)[0], idf) for b in packs(part.to_batches(), "_t", rows=256)])
         c = cluster(x, cfg.centroids, cfg.rounds)
-        centroids.append(c)
-        names += [lang] * len(c)
-        floors += [float(np.quantile((x @ c.T).max(1), cfg.reject))] * len(c)
-    return Model(idf, np.concatenate(centroids).astype(np.float32), names, np.array(floors))
+        floor = float(np.quantile((x @ c.T).max(1), cfg.reject))
+        return pa.table([pa.array([part["lang"][0].as_py()] * len(c)), pa.array(range(len(c)), pa.int32()), pa.array(list(c.astype(np.float32)), pa.list_(pa.float32())), pa.array([floor] * len(c))], ["lang", "i", "c", "floor"])
+
+    # a few rows a language come to the driver
+    found = picked.groupBy("lang").applyInArrow(centroids, "lang string, i int, c array<float>, floor double").toArrow().sort_by([("lang", "ascending"), ("i", "ascending")])
+    if not found.num_rows:
+        return Model(idf, np.zeros((0, dims), np.float32), [], np.zeros(0))
+    return Model(idf, np.array(found["c"].to_pylist(), np.float32), found["lang"].to_pylist(), found["floor"].to_numpy())
 
 
 def predict(docs: DataFrame, model: Model, cfg: Settings, keep: list[str], text_col: str = "text") -> DataFrame:
@@ -129,16 +132,19 @@ def predict(docs: DataFrame, model: Model, cfg: Settings, keep: list[str], text_
 
     A null text, and one without a letter, is 'und' with score 0 and rejected, as is every text if
     the model has learned nothing. Of equally near centroids the first language by name wins.
-    A rejected text still names its nearest language in lang_pred. Repeated rows each give a row.
+    A rejected text still names its nearest language in lang_pred. Repeated rows each give a row. A
+    kept column with one of the new names gives way to it.
     """
-    base = docs.select(*keep, F.col(text_col).alias("_t"))
+    keep = [c for c in keep if c.lower() not in ("lang_pred", "score", "rejected")]
+    (t,) = fresh(keep, "text")
+    base = docs.select(*keep, F.col(text_col).alias(t))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = base.select(*keep, F.lit("").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(False).alias("rejected")).schema
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = shared.value
-        for b in packs(batches, "_t", rows=256):
-            counts, lettered = tf_vectors(texts_of(b, "_t"), cfg)
+        for b in packs(batches, t, rows=256):
+            counts, lettered = tf_vectors(texts_of(b, t), cfg)
             if m.langs:
                 cos = tfidf(counts, m.idf) @ m.centroids.T
                 best = cos.argmax(1)
