@@ -25,11 +25,12 @@ from .shingles import Shingler
 
 @dataclass(frozen=True)
 class Search:
-    """`most_items` bounds the test items in memory at once; more are searched in blocks."""
+    """`most_chars` bounds the test items in memory at once (some 5 bytes a character, for shingles and
+    minima); more are searched block by block, each in a pass of its own over the documents."""
 
     threshold: float = 0.8
     recall: float = 0.9999
-    most_items: int = 20_000
+    most_chars: int = 32_000_000
 
 
 @dataclass
@@ -103,9 +104,9 @@ class Items:
 
 
 def item_blocks(items: DataFrame, search: Search, id_col: str, text_col: str) -> Iterator[tuple[list, Items]]:
-    n = items.count()
-    blocks = max(1, math.ceil(n / search.most_items))
     rows = items.select(F.col(id_col).alias("k"), F.col(text_col).alias("t"))
+    chars = rows.agg(F.sum(F.length("t"))).first()[0] or 0
+    blocks = max(1, math.ceil(chars / search.most_chars))
     for i in range(blocks):
         part = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("k", "t"), F.lit(blocks)) == i)
         got = sorted(((r["k"], r["t"] or "") for r in part.collect()), key=lambda x: (x[0] is None, x))
@@ -121,7 +122,7 @@ def contaminated(docs: DataFrame, items: DataFrame, search: Search | None = None
     """
     search = search or Search()
     spark = docs.sparkSession
-    schema = f"{id_col} {docs.schema[id_col].dataType.simpleString()}, {item_id} {items.schema[item_id].dataType.simpleString()}, n_shared int, item_shingles int, containment double"
+    schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, `{item_id}` {items.schema[item_id].dataType.simpleString()}, n_shared int, item_shingles int, containment double"
     item_type = items.select(item_id).schema
     base = docs.select(F.col(id_col).alias("_k"), F.col(text_col).alias("_t"))
     out = None
