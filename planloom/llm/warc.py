@@ -72,6 +72,7 @@ def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
     return fields, rest[:size]
 
 
+MOST_TASKS = 100_000
 INDEX = "page_id long, url string, payload_digest string, payload_bytes long, record_type string, refers_to long, file string, offset long, length long"
 
 
@@ -122,17 +123,20 @@ def write_archives(pages: DataFrame, folder: str | None = None, least: int = 100
     return written(typed.mapInArrow(write, INDEX))
 
 
-def read_records(index: DataFrame, gap: int = 64 << 10, most: int = 8 << 20, block: int = 32 << 20, payloads: bool = False) -> DataFrame:
+def read_records(index: DataFrame, gap: int = 64 << 10, most: int = 8 << 20, block: int = 8 << 20, payloads: bool = False) -> DataFrame:
     """Per selected index row: page_id, payload_bytes, payload_digest, record_type and refers_to, as
     the record itself has them (and html for responses, if `payloads`).
 
-    Rows are dealt by file and block of the file, sorted by offset; ranges less than `gap` bytes
+    Rows are dealt by file and block of the file, over as many tasks as the records' own bytes (not
+    those of their short index rows) make blocks, and sorted by offset; ranges less than `gap` bytes
     apart are fetched by one read of at most `most` bytes (a longer record is a read of its own).
     A payload that does not fit its digest raises an error.
     """
     names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"] + (["html"] if payloads else [])
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long" + (", html string" if payloads else "")
-    picked = index.select("file", "offset", "length").withColumn("block", F.floor(F.col("offset") / block)).repartition("file", "block").sortWithinPartitions("file", "offset").select("file", "offset", "length")
+    blocks = index.select(F.countDistinct("file", F.floor(F.col("offset") / block))).first()[0]
+    tasks = min(max(1, blocks), MOST_TASKS)
+    picked = index.select("file", "offset", "length").withColumn("block", F.floor(F.col("offset") / block)).repartition(tasks, "file", "block").sortWithinPartitions("file", "offset").select("file", "offset", "length")
 
     def number(fields: dict[str, str], name: str) -> int | None:
         return int(fields[name]) if name in fields else None
