@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, mix64, packs, texts_of
+from .common import col, fresh, mix64, packs, texts_of
 
 SPACE = 0x2581
 BLOCK = 128
@@ -407,17 +407,18 @@ def sampled_segmentations(
     the space before it; a literal U+2581 reads as a space.
     """
     made = ("n_pieces", "log_prob", "perturbed", "inclusion", "ids_sha256", "round_trip", "ids")
-    keep = [id_col] if keep is None else [c for c in keep if c not in made]
-    base = docs.select(*[F.col(c) for c in keep], F.col(id_col).cast("string").alias("_k"), F.col(text_col).alias("_t"))
+    keep = [id_col] if keep is None else [c for c in keep if c.lower() not in made]
+    key, text = fresh(keep, "key", "text")
+    base = docs.select(*[F.col(c) for c in keep], F.col(id_col).cast("string").alias(key), F.col(text_col).alias(text))
     extra = [("n_pieces", "array<int>"), ("log_prob", "array<double>"), ("perturbed", "array<double>"), ("inclusion", "array<double>"), ("ids_sha256", "array<string>"), ("round_trip", "boolean")]
     extra += [("ids", "array<array<int>>")] if with_ids else []
     schema = docs.select(*keep, *[F.lit(None).cast(t).alias(n) for n, t in extra]).schema
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pieces(model_path)
-        for b in packs(batches, "_t"):
-            texts = texts_of(b, "_t")
-            lat, found = sample_pack(model, texts, text_keys(col(b, "_k").to_pylist(), seed), k)
+        for b in packs(batches, text):
+            texts = texts_of(b, text)
+            lat, found = sample_pack(model, texts, text_keys(col(b, key).to_pylist(), seed), k)
             got = {n: [] for n, _ in extra}
             for t, (samples, kappa) in zip(texts, found, strict=True):
                 ids = [ids_of(model, lat, s[0], t) if lat else s[0] for s in samples]
