@@ -322,7 +322,7 @@ def pii_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
             every = [joined(sorted(base + more, key=lambda s: (rank[s[0]], s[1]))) for base, more in found]
             yield pa.RecordBatch.from_arrays([col(b, "_k"), *counts, pa.array(sha), pa.array(every), pa.array([len(m) for _, m in found], pa.int64())], [id_col, *names, "base_sha256", "spans", "n_added"])
 
-    schema = f"{id_col} {id_type}, {', '.join(f'{n} long' for n in names)}, base_sha256 string, spans string, n_added long"
+    schema = f"`{id_col}` {id_type}, {', '.join(f'{n} long' for n in names)}, base_sha256 string, spans string, n_added long"
     return docs.select(F.col(id_col).alias("_k"), F.col(text_col).alias("_t")).mapInArrow(run, schema)
 
 

@@ -320,4 +320,4 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 512, id_col:
             yield pa.RecordBatch.from_arrays([col(b, "_k"), pa.array(np.diff(off)), pa.array(n), pa.array(n > limit)], [id_col, "n_bytes", "n_tokens", "over_limit"])
 
     picked = docs.select(docs[id_col].alias("_k"), docs[text_col].alias("_t"))
-    return picked.mapInArrow(run, f"{id_col} {id_type}, n_bytes long, n_tokens long, over_limit boolean")
+    return picked.mapInArrow(run, f"`{id_col}` {id_type}, n_bytes long, n_tokens long, over_limit boolean")
