@@ -11,29 +11,51 @@ from planloom.llm.common import held_out, table, written
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that score under 0.7. Learns from the labelled ones that are not held out."""
+    """Drops the documents that score under 0.7. Learns from the labelled ones that are not held out.
+
+    Null and empty texts, which have no words, score as the bias alone and stay or go together; equal
+    texts share their fate, repeated rows stay as often as they come. Columns of any name pass as they are.
+    """
     cfg = quality.Ftrl()
     weights, bias = quality.fit(docs, table(spark, sf_dir, "labels"), cfg, ~held_out())
-    return quality.quality_scores(docs, weights, bias, cfg).where("predicted = 1").select(*docs.columns)
+    return quality.passing(docs, weights, bias, cfg)
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near copies, the one with the least id."""
+    """Keeps one document of each group of near copies, the one with the least id (a null id is less
+    than any other; of equal ids the text with the lesser hash).
+
+    Texts without words, null ones too, are copies of nothing: each stays, but rows with equal id and
+    text count as one. Columns of any name pass as they are.
+    """
     return forest.without_copies(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that hold a test item."""
+    """Drops the documents that hold a test item.
+
+    Null, empty and very short texts hold none and stay, repeated rows as often as they come; items
+    of fewer than five words drop nothing. Columns of any name pass as they are.
+    """
     return contamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Masks personal data in the texts; no document goes."""
+    """Masks personal data in the texts and sets n_chars anew; no document goes.
+
+    A null text stays null with a null length, an empty one empty; repeated rows are masked alike.
+    Columns of any other name pass as they are.
+    """
     return pii.mask_pii(docs)
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Encodes each text as two distinct sampled segmentations; the ids decode to the text."""
+    """Encodes each text as two distinct sampled segmentations; the ids decode to the text. All columns
+    but text stay beside them.
+
+    Null and empty texts have one sample, the empty one; rows with equal ids and texts draw the same.
+    A column that is called like a result (ids, log_prob, ...) gives way to it.
+    """
     keep = [c for c in docs.columns if c != "text"]
     return lattice.sampled_segmentations(docs, public_tokenizers.path("piece_bpe_32k.model"), k=2, keep=keep)
 
