@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 
 import planloom.plans.catalogue_captures  # noqa: F401
+import planloom.plans.catalogue_kernels  # noqa: F401
 import planloom.plans.catalogue_steps  # noqa: F401
 from planloom.plans.catalogue import ORACLES, QUERIES
 
