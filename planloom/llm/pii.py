@@ -43,6 +43,10 @@ NAMES = [
     "eight acht huit ocho",
     "nine neun neuf nueve",
 ]
+# English names of two digits, and words that repeat the digit after them.
+TEENS = "ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()
+TENS = "twenty thirty forty fifty sixty seventy eighty ninety".split()
+REPEATS = {"double": "x2", "triple": "x3"}
 AT, DOT, PLUS = ("at", "arroba", "chez"), ("dot", "punkt", "point", "punto"), ("plus", "más")
 # Last labels that make a spelled-out address (without brackets) believable.
 TOP_LABELS = frozenset("com org net edu gov mil int info biz io co us uk eu de fr es it nl ch at be pt mx ar cl test example invalid".split())
@@ -74,6 +78,8 @@ LABEL_WORDS = frozenset("""ad ai al am as au ca ce do et ga il im in is je la li
     vision vote watch web win work works world zone local""".split())
 DETERMINERS = frozenset("""the this that these those a an any some every each which what no one my your his her its our their der die das dem den dieser diesem
     ein einem einer le la les ce cet cette un une quel tout el los las este ese aquel lui eux elle nous vous moi toi""".split())
+# Words before an address, after which any last label is believed.
+CUE = re.compile(r"(?<![a-z])(?:e-?mails?|mails?|contact|reach|write|address|kontakt|adresse|schreib\w*|correo|escrib\w*|courriel|contacter|écri\w*)(?![a-z])[^.!?\n]{0,40}$")
 _bracketed = lambda words: rf"\s{{0,3}}[\[({{<]\s{{0,3}}(?:{'|'.join(words)})\s{{0,3}}[\])}}>]\s{{0,3}}"
 BRACKET_AT = re.compile(r"(?<=[a-z0-9])" + _bracketed((*AT, "@")) + r"(?=[a-z0-9])")
 BRACKET_DOT = re.compile(r"(?<=[a-z0-9])" + _bracketed((*DOT, r"\.")) + r"(?=[a-z0-9])")
@@ -149,16 +155,23 @@ def homoglyphs() -> dict[str, str]:
 
 @lru_cache(1)
 def triggers():
-    """An automaton of the words that a disguise needs: ('d', digit), ('at',), ('dot',), ('plus',)."""
+    """An automaton of the words that a disguise needs, each with what it stands for: digits, a mark, or
+    how often the next digit is meant."""
     import ahocorasick
 
     a = ahocorasick.Automaton()
     for d, names in enumerate(NAMES):
         for w in names.split():
             a.add_word(w, (w, str(d)))
+    for k, w in enumerate(TEENS):
+        a.add_word(w, (w, str(10 + k)))
+    for k, w in enumerate(TENS):
+        a.add_word(w, (w, str(20 + 10 * k)))
     for words, mark in ((AT, "@"), (DOT, "."), (PLUS, "+")):
         for w in words:
             a.add_word(w, (w, mark))
+    for w, mark in REPEATS.items():
+        a.add_word(w, (w, mark))
     a.make_automaton()
     return a
 
@@ -202,15 +215,34 @@ def words_in(low: str) -> list[tuple[int, int, str]]:
 def digit_edits(low: str, words: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     """Transducer of spelled digits. Three names at least that follow each other, apart by spaces,
     commas, dashes or written digits, become one digit string; a spelled dot or plus between or
-    before them becomes its mark."""
+    before them becomes its mark. "Twenty five" is 25, "double five" is 55."""
     edits, run = [], []
     gap = re.compile(r"[\s,;_/-]*+(?:[0-9][\s,;_/-]*+)*+")
 
+    def composed() -> list[tuple[int, int, str]]:
+        """The run with pairs of words that make one number put together."""
+        out, k = [], 0
+        while k < len(run):
+            (lo, hi, mark), after = run[k], run[k + 1] if k + 1 < len(run) else None
+            unit = after[2] if after and len(after[2]) == 1 and after[2].isdigit() and not low[hi : after[0]].strip(" -") else ""
+            if mark[0] == "x":
+                if unit:
+                    out.append((lo, after[1], unit * int(mark[1])))
+                    k += 1
+            elif len(mark) == 2 and mark[1] == "0" and mark[0] > "1" and unit not in ("", "0"):
+                out.append((lo, after[1], mark[0] + unit))
+                k += 1
+            else:
+                out.append((lo, hi, mark))
+            k += 1
+        return out
+
     def close() -> None:
         while run and run[-1][2] == ".":
             run.pop()
         if sum(x[2].isdigit() for x in run) >= 3:
-            for (lo, hi, mark), after in zip(run, [*run[1:], None], strict=True):
+            numbers = composed()
+            for (lo, hi, mark), after in zip(numbers, [*numbers[1:], None], strict=True):
                 if after is None:
                     edits.append((lo, hi, mark))
                 else:
@@ -230,7 +262,8 @@ def digit_edits(low: str, words: list[tuple[int, int, str]]) -> list[tuple[int,
 
 def believable(m: re.Match) -> bool:
     """Whether a match of PLAIN is an address: by its last label, and for labels beyond TOP_LABELS by
-    a spelled dot and words that hardly stand in a sentence like "at this point in"."""
+    a spelled dot and words that hardly stand in a sentence like "at this point in". After a word like
+    "contact" any label of letters will do that is no everyday word."""
     at = m.end(1) - m.start()
     dots, domain = PLAIN_DOT.findall(m[0], at), re.split(r"[\s.]+", m[0][at:])
     last = domain[-1]
@@ -238,7 +271,10 @@ def believable(m: re.Match) -> bool:
         return bool(dots) or m[1] == "@"
     if not dots or m[1] != "@" and domain[0] in DETERMINERS:
         return False
-    return last.startswith("xn--") or last in MORE_LABELS and (dots[-1].strip() == "dot" or last not in LABEL_WORDS)
+    if last.startswith("xn--") or last in MORE_LABELS and (dots[-1].strip() == "dot" or last not in LABEL_WORDS):
+        return True
+    cued = CUE.search(m.string, max(0, m.start() - 60), m.start())
+    return bool(cued) and dots[-1].strip() == "dot" and last.isalpha() and 2 <= len(last) <= 24 and last not in LABEL_WORDS
 
 
 def address_edits(low: str) -> list[tuple[int, int, str]]:

@@ -105,6 +105,11 @@ def test_base_spans_are_the_patterns():
         ("192​.168.1.1", [("ip", "192​.168.1.1")]),
         ("+٤٩ ١٢٣ ٤٥٦ ٧٨٩٠", [("phone", "+٤٩ ١٢٣ ٤٥٦ ٧٨٩٠")]),
         ("one two three apples", []),
+        ("plus four nine double seven twenty three ninety triple zero fifteen", [("phone", "plus four nine double seven twenty three ninety triple zero fifteen")]),
+        ("ip ten dot twenty five dot one double zero dot seven ok", [("ip", "ten dot twenty five dot one double zero dot seven")]),
+        ("contact jo at acme dot zebra now", [("email", "jo at acme dot zebra")]),
+        ("they met jo at acme dot zebra now", []),
+        ("in nineteen ninety nine a double bed", []),
     ],
 )
 def test_disguises(text, found):

@@ -64,3 +64,41 @@ def test_sql_says_the_same(spark, name):
     clean = lambda v: "null" if v is None or v is pd.NA or v != v else str(round(float(v), 9)) if isinstance(v, (int, float)) else v
     rows = lambda df: sorted(tuple(map(clean, r)) for r in df[sorted(df.columns)].astype(object).itertuples(index=False))
     assert rows(queries.QUERIES[name](spark, d).toPandas()) == rows(con.execute(queries.ORACLES[name]).df())
+
+
+@pytest.fixture(scope="module")
+def odd_tables(spark, odd_docs, tmp_path_factory):
+    """A folder of tables: the odd rows with names that clash with what stages make, few labels, one item."""
+    from pyspark.sql import functions as F
+
+    folder = str(tmp_path_factory.mktemp("odd"))
+    extra = odd_docs.withColumns({c: F.lit("clash") for c in ("_t", "text_", "key", "predicted", "n_pieces", "planloom", "t", "class_id")})
+    extra.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(6, 1), (7, 1), (None, 0), (3, None)], "doc_id long, quality int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(1, "a b c d e f"), (2, None), (3, "")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return folder
+
+
+def test_pipeline_over_odd_rows(spark, odd_tables):
+    docs = table(spark, odd_tables, "documents")
+    now, left = docs, []
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        now = stage(spark, now, odd_tables)
+        assert now.columns == docs.columns
+        left.append(sorted(((r["doc_id"], r["text"]) for r in now.select("doc_id", "text").collect()), key=str))
+    every = sorted(((r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()), key=str)
+    assert left[0] == every  # all that is labelled is good, so nothing goes
+    once = list(every)
+    once.remove((3, "one"))
+    assert left[1] == once
+    once.remove((None, "a b c d e f"))
+    assert left[2] == left[3] == once
+    got = corpus_pipeline.run(spark, odd_tables).collect()
+    assert sorted((r["doc_id"] for r in got), key=str) == [k for k, _ in sorted(once, key=lambda x: str(x[0]))]
+    assert all(r["round_trip"] for r in got) and {r["planloom"] for r in got} == {r["predicted"] for r in got} == {"clash"}
+
+
+def test_pipeline_over_empty_tables(spark, odd_tables, tmp_path):
+    for name in ("documents", "labels", "benchmark"):
+        table(spark, odd_tables, name).limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
