@@ -58,6 +58,7 @@ def tf_vectors(texts: list[str], cfg: Settings) -> tuple[np.ndarray, np.ndarray]
         for k in range(size):
             h = h * np.uint64(0x100000001B3) + c[k : k + n]
             some |= letter[k : k + n]
+        some &= row[:n] == row[size - 1 :]  # none that begins in the gap after a text and ends in the next one
         at = (mix64(h[some]) & np.uint64(dims - 1)).astype(np.int64) + row[:n][some] * dims
         out += np.bincount(at, minlength=out.size).reshape(out.shape)
     return out, np.bincount(row[letter], minlength=len(texts)) > 0
