@@ -78,7 +78,7 @@ def single_outlines(spark, d):
 
 # ---- polygons and rasters --------------------------------------------------------------------
 
-BOXES = """boxes AS (SELECT p_partkey, CAST(p_partkey % 7 AS DOUBLE) AS x, CAST(p_partkey % 5 AS DOUBLE) AS y, 1.0::DOUBLE + p_size % 6 AS w, 1.0::DOUBLE + p_partkey % 4 AS h FROM part),
+BOXES = """boxes AS (SELECT s_suppkey, CAST(s_suppkey % 7 AS DOUBLE) AS x, CAST(s_suppkey % 5 AS DOUBLE) AS y, 1.0::DOUBLE + s_nationkey % 6 AS w, 1.0::DOUBLE + s_suppkey % 4 AS h FROM supplier),
 met AS (SELECT *, greatest(0.0::DOUBLE, least(x + w, 5.5::DOUBLE) - greatest(x, 2.5::DOUBLE)) * greatest(0.0::DOUBLE, least(y + h, 4.25::DOUBLE) - greatest(y, 1.25::DOUBLE)) AS shared,
  greatest(0.0::DOUBLE, 2.5 - (x + w), x - 5.5) AS dx, greatest(0.0::DOUBLE, 1.25 - (y + h), y - 4.25) AS dy FROM boxes)"""
 
@@ -87,7 +87,7 @@ def boxed(x, y, w, h):
     return [(x, y), (x + w, y), (x + w, y + h), (x, y + h)]
 
 
-@query(f"""WITH {BOXES} SELECT p_partkey, w * h AS area, round(shared, 6) AS shared, round(w * h + 9 - shared, 6) AS covered, round(w * h - shared, 6) AS rest, round(sqrt(dx * dx + dy * dy), 6) AS gap,
+@query(f"""WITH {BOXES} SELECT s_suppkey, w * h AS area, round(shared, 6) AS shared, round(w * h + 9 - shared, 6) AS covered, round(w * h - shared, 6) AS rest, round(sqrt(dx * dx + dy * dy), 6) AS gap,
 round(least(w, h) / 2, 2) AS inradius, greatest(8, CAST(floor((2 * w + 2 * h) / 0.1::DOUBLE + 1e-9) AS INTEGER)) AS samples, 4.0 >= x AND 4.0 <= x + w AND 2.75 >= y AND 2.75 <= y + h AS holds FROM met""")
 def box_polygons(spark, d):
     """Areas, set algebra, distance, inner radius and sampling of boxes against one fixed box."""
@@ -104,11 +104,11 @@ def box_polygons(spark, d):
                 left = polygons.area(ring) - cut
                 inside = bool(polygons.contains(ring, np.array([(4.0, 2.75)]))[0] or polygons.distance(ring, np.array([(4.0, 2.75)]))[0] < 1e-12)
                 rows.append((key, polygons.area(ring), round(shared, 6), round(polygons.covered_area([ring, fixed]), 6), round(left, 6), round(apart, 6), round(polygons.inradius(ring), 2), len(polygons.resampled(ring)), inside))
-            yield pd.DataFrame(rows, columns=["p_partkey", "area", "shared", "covered", "rest", "gap", "inradius", "samples", "holds"])
+            yield pd.DataFrame(rows, columns=["s_suppkey", "area", "shared", "covered", "rest", "gap", "inradius", "samples", "holds"])
 
     n = F.col
-    p = table(spark, d, "part").select("p_partkey", (n("p_partkey") % 7).cast("double").alias("x"), (n("p_partkey") % 5).cast("double").alias("y"), (F.lit(1.0) + n("p_size") % 6).alias("w"), (F.lit(1.0) + n("p_partkey") % 4).alias("h"))
-    return p.mapInPandas(run, "p_partkey long, area double, shared double, covered double, rest double, gap double, inradius double, samples int, holds boolean")
+    p = table(spark, d, "supplier").select("s_suppkey", (n("s_suppkey") % 7).cast("double").alias("x"), (n("s_suppkey") % 5).cast("double").alias("y"), (F.lit(1.0) + n("s_nationkey") % 6).alias("w"), (F.lit(1.0) + n("s_suppkey") % 4).alias("h"))
+    return p.mapInPandas(run, "s_suppkey long, area double, shared double, covered double, rest double, gap double, inradius double, samples int, holds boolean")
 
 
 @query("""WITH r AS (SELECT p_partkey, 4 + p_size % 9 AS w, 4 + p_partkey % 7 AS h FROM part)
