@@ -90,25 +90,31 @@ def boxed(x, y, w, h):
 @query(f"""WITH {BOXES} SELECT s_suppkey, w * h AS area, round(shared, 6) AS shared, round(w * h + 9 - shared, 6) AS covered, round(w * h - shared, 6) AS rest, round(sqrt(dx * dx + dy * dy), 6) AS gap,
 round(least(w, h) / 2, 2) AS inradius, greatest(8, CAST(floor((2 * w + 2 * h) / 0.1::DOUBLE + 1e-9) AS INTEGER)) AS samples, 4.0 >= x AND 4.0 <= x + w AND 2.75 >= y AND 2.75 <= y + h AS holds FROM met""")
 def box_polygons(spark, d):
-    """Areas, set algebra, distance, inner radius and sampling of boxes against one fixed box."""
+    """Areas, set algebra, distance, inner radius and sampling of boxes against one fixed box. Equal boxes
+    are measured once, and the different ones are dealt to many tasks, however small the file."""
+
+    box, found = list("xywh"), ["area", "shared", "covered", "rest", "gap", "inradius", "samples", "holds"]
 
     def run(parts):
         fixed = boxed(2.5, 1.25, 3.0, 3.0)
         for part in parts:
             rows = []
-            for key, x, y, w, h in part.itertuples(index=False):
+            for x, y, w, h in part.itertuples(index=False):
                 ring = boxed(x, y, w, h)
                 shared = polygons.overlap(ring, fixed)
                 apart = 0.0 if shared > 0 else polygons.gap(ring, fixed)
                 rest, cut = polygons.minus(ring, [fixed], 0.0)
                 left = polygons.area(ring) - cut
                 inside = bool(polygons.contains(ring, np.array([(4.0, 2.75)]))[0] or polygons.distance(ring, np.array([(4.0, 2.75)]))[0] < 1e-12)
-                rows.append((key, polygons.area(ring), round(shared, 6), round(polygons.covered_area([ring, fixed]), 6), round(left, 6), round(apart, 6), round(polygons.inradius(ring), 2), len(polygons.resampled(ring)), inside))
-            yield pd.DataFrame(rows, columns=["s_suppkey", "area", "shared", "covered", "rest", "gap", "inradius", "samples", "holds"])
+                rows.append((x, y, w, h, polygons.area(ring), round(shared, 6), round(polygons.covered_area([ring, fixed]), 6), round(left, 6), round(apart, 6), round(polygons.inradius(ring), 2), len(polygons.resampled(ring)), inside))
+            yield pd.DataFrame(rows, columns=[*box, *found])
 
     n = F.col
     p = table(spark, d, "supplier").select("s_suppkey", (n("s_suppkey") % 7).cast("double").alias("x"), (n("s_suppkey") % 5).cast("double").alias("y"), (F.lit(1.0) + n("s_nationkey") % 6).alias("w"), (F.lit(1.0) + n("s_suppkey") % 4).alias("h"))
-    return p.mapInPandas(run, "s_suppkey long, area double, shared double, covered double, rest double, gap double, inradius double, samples int, holds boolean")
+    different = p.select(*box).distinct().repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *box)
+    of = different.mapInPandas(run, "x double, y double, w double, h double, area double, shared double, covered double, rest double, gap double, inradius double, samples int, holds boolean").alias("o")
+    same = [n(f"p.{c}").eqNullSafe(n(f"o.{c}")) for c in box]
+    return p.alias("p").join(of, same).select("s_suppkey", *found)
 
 
 @query("""WITH r AS (SELECT p_partkey, 4 + p_size % 9 AS w, 4 + p_partkey % 7 AS h FROM part)
