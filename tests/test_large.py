@@ -135,3 +135,15 @@ def test_opening_host_walls_makes_no_pairs(spark, tables):
     s["s_nationkey"], c["c_nationkey"] = s["s_nationkey"].astype(np.int32), c["c_nationkey"].astype(np.int32)
     df = held(spark, tables(supplier=s, customer=c), "opening_host_walls", "supplier", "customer")
     assert most_rows(df) < 5e6  # 12 million pairs
+
+
+def test_points_in_rooms_makes_no_pairs(spark, tables):
+    s, c = suppliers(3000, nations=4, seed=8), customers(20000, nations=5, seed=9)
+    n = pd.DataFrame({"n_nationkey": np.arange(5, dtype=np.int32), "n_name": "n", "n_regionkey": np.array([0, 0, 0, 1, 1], np.int32)})
+    c.loc[:5, "c_acctbal"] = None
+    c.loc[31, "c_custkey"] = 30
+    c.loc[40:999, "c_acctbal"] = s["s_acctbal"].to_numpy()[40:1000]  # points on corners' columns
+    d = tables(supplier=s, customer=c, nation=n)
+    for name in ("points_in_rooms", "opening_rooms", "point_in_polygon"):
+        df = held(spark, d, name, "supplier", "customer", "nation")
+        assert most_rows(df) < 1e6  # 15 million pairs and more
