@@ -28,6 +28,14 @@ def rounded_half_even(value: Column, digits: int) -> Column:
     return F.bround(value, digits)
 
 
+def rounded(value: Column, digits: int) -> Column:
+    """Half away from zero of the scaled double, as DuckDB rounds; without the decimal text that Spark's round goes by."""
+    scaled = value * F.lit(10.0**digits)
+    near = F.rint(scaled)
+    tie = F.when(scaled - near == 0.5, F.when(scaled > 0, 1.0).otherwise(0.0)).when(scaled - near == -0.5, F.when(scaled < 0, -1.0).otherwise(0.0)).otherwise(0.0)
+    return F.when(F.abs(scaled) < float("inf"), (near + tie) / F.lit(10.0**digits)).otherwise(value)
+
+
 def content_hash(doc: Column) -> Column:
     """SHA-256 of the compact JSON of a struct whose fields are in name order."""
     return F.sha2(F.to_json(doc), 256)

@@ -233,8 +233,13 @@ def doors_and_segments(spark, d):
 
 @query(f"WITH {SEGMENTS} SELECT room, c_custkey, s_suppkey, round(dist, 6) AS dist FROM far")
 def point_segment_distances(spark, d):
+    """All pairs of a room. Its points are dealt to many tasks, each with all of the room's segments: the
+    pairs are far more than the rows that adaptive execution goes by."""
     c, s, dist = doors_and_segments(spark, d)
-    return c.join(s, "room").select("room", "c_custkey", "s_suppkey", F.round(dist, 6).alias("dist"))
+    n, deal = int(spark.conf.get("spark.sql.shuffle.partitions")), 32
+    c = c.withColumn("_s", F.pmod(F.hash("c_custkey"), F.lit(deal))).repartition(n, "room", "_s")
+    s = s.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(deal - 1)))).repartition(n, "room", "_s")
+    return c.join(s, ["room", "_s"]).select("room", "c_custkey", "s_suppkey", measures.rounded(dist, 6).alias("dist"))
 
 
 @query(f"WITH {SEGMENTS} SELECT room, c_custkey, s_suppkey, round(dist, 6) AS dist FROM far QUALIFY row_number() OVER (PARTITION BY c_custkey, room ORDER BY dist, s_suppkey) = 1")

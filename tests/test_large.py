@@ -7,6 +7,7 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 from test_catalogue import rows
 
 import planloom.plans.catalogue_kernels  # noqa: F401
@@ -147,3 +148,18 @@ def test_points_in_rooms_makes_no_pairs(spark, tables):
     for name in ("points_in_rooms", "opening_rooms", "point_in_polygon"):
         df = held(spark, d, name, "supplier", "customer", "nation")
         assert most_rows(df) < 1e6  # 15 million pairs and more
+
+
+def test_pairs_of_one_room_are_dealt_to_many_tasks(spark, tables):
+    s, c = suppliers(60, nations=1, seed=10), customers(2000, nations=1, seed=11)
+    c.loc[:5, "c_acctbal"] = None
+    df = held(spark, tables(supplier=s, customer=c), "point_segment_distances", "supplier", "customer")
+    assert df.select(F.spark_partition_id()).distinct().count() > 1  # one room, one task before
+
+
+def test_rounded(spark):
+    from planloom.functions import measures
+
+    v = [0.5, -0.5, 1.5, 2.5, -2.5, 0.49999999999999994, 1e300, float("inf"), -1.25, None]
+    got = [r["x"] for r in spark.createDataFrame([(x,) for x in v], "v double").select(measures.rounded(F.col("v"), 0).alias("x")).collect()]
+    assert got == duckdb.execute("select [round(x, 0) for x in ?::double[]]", [v]).fetchone()[0]
