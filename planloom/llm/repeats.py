@@ -392,11 +392,15 @@ def removed_spans(docs: DataFrame, rule: Rule, id_col: str, text_col: str) -> Da
 
     whole = each.where(F.when(F.col("at.unit") == BYTES, F.col("n") > 1).otherwise(F.col("k") != F.col("k2")))
     cover = found_in_shards(content.where("block is not null").select("m", "shard", "shards", "s", "block"), rule).unionByName(whole.select("s", F.lit(0).alias("a"), F.col("at.size").alias("b")))
+    done = [each, content]
     if rule.words:
         windows = content.where("h1 is not null").select("h1", "h2", "k", "k2", "s", "at")
         common = written(windows.groupBy("h1", "h2").agg(F.min("k").alias("k"), F.max("k2").alias("k2")).where("k <> k2").select("h1", "h2"))
         hits = windows.join(common, ["h1", "h2"]).select("s", F.col("at").alias("a"), (F.col("at") + rule.words).alias("b")).distinct()
         cover = cover.unionByName(hits)
+        done.append(common)
+    cover = written(cover)
+    release(*done)
     spans = shared.select("k", "unit", "start", "s").join(cover, "s").select("k", "unit", (F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b")).alias("b"))
     return spans.groupBy("k").agg(F.collect_set(F.struct("unit", "a", "b")).alias("spans"))  # of one text; equal rows count once
 

@@ -163,3 +163,19 @@ def test_rounded(spark):
     v = [0.5, -0.5, 1.5, 2.5, -2.5, 0.49999999999999994, 1e300, float("inf"), -1.25, None]
     got = [r["x"] for r in spark.createDataFrame([(x,) for x in v], "v double").select(measures.rounded(F.col("v"), 0).alias("x")).collect()]
     assert got == duckdb.execute("select [round(x, 0) for x in ?::double[]]", [v]).fetchone()[0]
+
+
+def test_release_drops_the_shuffles_of_steps_that_are_done(spark):
+    from planloom.shared import release, written
+
+    found = lambda: {f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()) if f.getName().startswith("shuffle_")}
+    old = found()
+    same = lambda batches: batches
+    for _ in range(3):
+        small = written(spark.range(5))
+        written(spark.range(20000).groupBy((F.col("id") % 100).alias("k")).count().mapInArrow(same, "k long, count long"))
+        release(small)
+        end = time.monotonic() + 8
+        while found() - old and time.monotonic() < end:
+            time.sleep(0.2)
+        assert not found() - old
