@@ -5,8 +5,8 @@ least hash. Equal windows have equal minimisers, so windows are sharded by the m
 a window's copies always meet. Consecutive windows with one minimiser travel together as one block
 (2/length of a text's bytes start a block). Blocks whose minimiser occurs once hold no repeat and
 go no further; equal blocks are settled by counting their hashes; only different blocks that share a
-minimiser are compared byte by byte: each shard gets a suffix array by Larsson-Sadakane refinement
-and common prefixes by Kasai's rule, and windows whose neighbours share `length` bytes are repeats.
+minimiser are compared byte by byte: each shard gets a suffix array by Larsson-Sadakane refinement,
+stopped at `length` bytes, where windows that are one group are repeats.
 
 Two blocks that share a window agree on half a window's bytes to the left of the minimiser or to its
 right, so a block whose two halves are both its own goes no further either.
@@ -24,6 +24,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +37,10 @@ from .suffixes import refine
 
 BYTE = mix64(np.arange(256, dtype=np.uint64) + np.uint64(0xB17E))
 PRIME = 0x100000001B3
-PLACES = 26  # bits for the place beside a hash's upper bits
+PRIME_32 = 0x01000193
 SLICE = 1 << 22  # longer packs are searched slice by slice
+POWERS = 1 << 21  # powers of a base that are kept
+CHUNK = 1 << 15  # windows that are searched at once, so few that the processor's cache holds them
 U64 = 2**64 - 1
 
 
@@ -54,27 +57,38 @@ class Rule:
     length: int = 400
     gram: int = 32
     most: int = 512
-    shard_bytes: int = 2 << 20
+    shard_bytes: int = 1 << 18
     words: int = 0
     word_gram: int = 8
 
 
 def gram_hashes(x: np.ndarray, gram: int) -> np.ndarray:
-    """Hash of the gram codes from each place on (gram a power of two)."""
+    """Hash of the gram codes (of 32 bits) from each place on, gram a power of two."""
     h, size = x, 1
     while size < gram:
-        h = h[:-size] * np.uint64(pow(PRIME, size, U64 + 1)) + h[size:]
+        h = h[:-size] * np.uint32(pow(PRIME_32, size, 1 << 32)) + h[size:]
         size *= 2
-    return mix64(h)
+    return h
+
+
+def powers_of(base: int, n: int) -> np.ndarray:
+    """base^0 .. base^n."""
+    return np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, base, np.uint64)]))
+
+
+@cache
+def powers(base: int) -> np.ndarray:
+    return powers_of(base, POWERS)
 
 
 def running(x: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
     """Sums of x[i] base^i up to each place, and base^-i: (sum[b] - sum[a]) * inverse[a] is the hash of
     x[a:b] wherever it lies."""
     n = len(x)
-    up = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, base, np.uint64)]))
-    down = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, pow(base, -1, U64 + 1), np.uint64)]))
-    return np.concatenate([np.zeros(1, np.uint64), np.cumsum(x * up[:-1])]), down
+    up, down = (powers(b)[: n + 1] if n < POWERS else powers_of(b, n) for b in (base, pow(base, -1, U64 + 1)))
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(x * up[:-1], out=total[1:])
+    return total, down
 
 
 def words_of(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -94,35 +108,47 @@ def words_of(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return mix64((total[end] - total[begin]) * down[begin] + (end - begin).astype(np.uint64)), np.searchsorted(begin, off)
 
 
-def blocks_of(x: np.ndarray, off: np.ndarray, length: int, gram: int, halves: bool = True) -> Iterator[tuple[np.ndarray, ...]]:
-    """The blocks of texts laid end to end, as codes: text, start in the text, size, minimiser hash,
-    start in x, and hashes of the half windows before and behind the minimiser (0: not within the block)."""
+def minimisers(x: np.ndarray, length: int, gram: int) -> np.ndarray:
+    """The place of each window's minimiser. Grams are ordered by the upper bits of a hash of 32 bits, the
+    place in the lower ones; equal hashes leave the choice to the place, whatever the grams are."""
     span = length - gram + 1  # grams in a window
-    half = -(-(length - gram) // 2)
-    last = off[1:] - length  # the last window of each text
-    for base in range(0, max(0, len(x) - length + 1), SLICE):
-        part = x[base : base + SLICE + length - 1]
-        h = gram_hashes(part, gram)
-        key = (h >> np.uint64(PLACES) << np.uint64(PLACES)) | np.arange(len(h), dtype=np.uint64)
+    mask = np.uint32((1 << int(CHUNK + span).bit_length()) - 1)
+    least = np.empty(len(x) - length + 1, np.int32)
+    for base in range(0, len(least), CHUNK):
+        key = gram_hashes(x[base : base + CHUNK + length - 1].astype(np.uint32), gram) & ~mask
+        key |= np.arange(len(key), dtype=np.uint32)
         size = 1
         while 2 * size <= span:
             key = np.minimum(key[:-size], key[size:])
             size *= 2
         rest = span - size
-        least = np.minimum(key[: len(key) - rest], key[rest:]) & np.uint64((1 << PLACES) - 1)
-        least = least.astype(np.int64)
-        at = np.arange(len(least)) + base
-        text = np.searchsorted(off, at, "right") - 1
-        ok = at <= last[text]
-        at, text, least = at[ok], text[ok], least[ok]
-        if not len(at):
-            continue
-        new = np.ones(len(at), bool)
-        new[1:] = (text[1:] != text[:-1]) | (least[1:] != least[:-1])
+        key = np.minimum(key[: len(key) - rest], key[rest:]) & mask
+        least[base : base + len(key)] = key.view(np.int32) + base
+    return least
+
+
+def blocks_of(x: np.ndarray, off: np.ndarray, length: int, gram: int, halves: bool = True) -> Iterator[tuple[np.ndarray, ...]]:
+    """The blocks of texts laid end to end, as codes: text, start in the text, size, minimiser hash,
+    start in x, and hashes of the half windows before and behind the minimiser (0: not within the block)."""
+    half = -(-(length - gram) // 2)
+    ends = np.unique(np.concatenate([off[:-1], np.maximum(off[1:] - length + 1, off[:-1])]))  # of each text's windows
+    for base in range(0, max(0, len(x) - length + 1), SLICE):
+        part = x[base : base + SLICE + length - 1]
+        least = minimisers(part, length, gram)
+        new = np.ones(len(least), bool)
+        new[1:] = least[1:] != least[:-1]
+        new[ends[(ends >= base) & (ends < base + len(least))] - base] = True
         first = np.flatnonzero(new)
-        size = np.diff(np.append(first, len(at))) + length - 1
-        text, begin, mark = text[first], at[first], least[first]
-        m = h[mark]
+        size = np.diff(np.append(first, len(least))) + length - 1
+        text = np.searchsorted(off, first + base, "right") - 1
+        ok = first + base + length <= off[text + 1]
+        text, begin, size, mark = text[ok], first[ok] + base, size[ok], least[first[ok]].astype(np.int64)
+        if not len(begin):
+            continue
+        m = np.zeros(len(mark), np.uint64)
+        for k in range(gram):
+            m = m * np.uint64(PRIME) + part[mark + k]
+        m = mix64(m)
         sides = [np.zeros(0, np.int64)] * 2
         if not halves:
             yield text, begin - off[text], size, m.view(np.int64), begin, *sides
@@ -167,63 +193,21 @@ def block_table(docs: DataFrame, rule: Rule, id_col: str, text_col: str, marks_o
     return base.mapInArrow(run, "m long" if marks_only else TABLE)
 
 
-def kasai(data: np.ndarray, words: np.ndarray, sa: np.ndarray, rank: np.ndarray, begin: np.ndarray, size: np.ndarray, cap: int) -> np.ndarray:
-    """By rank: the common prefix of a suffix with the one before it, up to cap or a little more.
-
-    Kasai's rule, from one place of the text to the next the prefix shrinks by one at most, is
-    applied to all blocks in lockstep. words holds the 8 bytes from each place on, as big-endian."""
-    n = len(data)
-    lcp = np.zeros(n, np.int64)
-    order = np.argsort(-size, kind="stable")
-    begin, size = begin[order], size[order]
-    alive = len(size) - np.cumsum(np.bincount(size))
-    h = np.zeros(len(size), np.int64)
-    for t in range(int(size[0]) if len(size) else 0):
-        k = int(alive[t])
-        i = begin[:k] + t
-        r = rank[i]
-        j = sa[np.maximum(r - 1, 0)]
-        got = np.maximum(h[:k] - 1, 0)
-        got[r == 0] = 0
-        act = np.flatnonzero(r > 0)
-        while len(act):
-            x, y = i[act] + got[act], j[act] + got[act]
-            room = n - np.maximum(x, y)
-            inside = room > 0
-            act, x, y, room = act[inside], x[inside], y[inside], room[inside]
-            diff = words[x] ^ words[y]
-            same = np.full(len(act), 8)
-            bad = diff != 0
-            same[bad] = 7 - (np.log2(diff[bad].astype(np.float64)).astype(np.int64) >> 3)
-            # log2 of a number just under a power of two may round up by one
-            odd = bad.copy()
-            odd[bad] = (diff[bad] >> ((7 - np.maximum(same[bad], 0)) * 8).astype(np.uint64)) == 0
-            same[odd] += 1
-            same = np.minimum(same, room)
-            got[act] += same
-            act = act[(same == 8) & (got[act] < cap)]
-        h[:k] = got
-        lcp[r] = got
-    return lcp
-
-
 def repeated_windows(blocks: list[bytes], rule: Rule) -> list[np.ndarray]:
     """Of each (different) block: the starts of its windows that another window of the shard equals."""
     data = np.frombuffer(b"".join(blocks), np.uint8)
     size = np.array([len(b) for b in blocks], np.int64)
     begin = np.cumsum(size) - size
-    padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    words = np.zeros(len(data), np.uint64)
-    for k in range(8):
-        words = (words << np.uint64(8)) | padded[k : k + len(data)]
-    sa, rank = refine(words, 8)
-    lcp = kasai(data, words, sa, rank, begin, size, rule.length)
-    group = np.cumsum(lcp < rule.length)
+    first = min(8, rule.length)
+    padded = np.concatenate([data, np.zeros(first, np.uint8)])
+    keys = np.zeros(len(data), np.uint64)
+    for k in range(first):
+        keys = (keys << np.uint64(8)) | padded[k : k + len(data)]
     left = np.repeat(begin + size, size) - np.arange(len(data))
-    real = left[sa] >= rule.length
-    count = np.bincount(group[real], minlength=int(group[-1]) + 1)
-    hit = np.zeros(len(data), bool)
-    hit[sa[real]] = count[group[real]] > 1
+    _, rank = refine(keys, first, until=rule.length, room=left)
+    real = left >= rule.length
+    count = np.bincount(rank[real], minlength=len(data))
+    hit = real & (count[rank] > 1)
     return [np.flatnonzero(hit[b : b + s]) for b, s in zip(begin.tolist(), size.tolist(), strict=True)]
 
 

@@ -5,13 +5,18 @@ from __future__ import annotations
 import numpy as np
 
 
-def refine(keys: np.ndarray, first: int, until: int | None = None, levels: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+def refine(
+    keys: np.ndarray, first: int, until: int | None = None, levels: list | None = None, room: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray]:
     """Suffix array and ranks by Larsson-Sadakane doubling.
 
     `keys` order the suffixes by their first `first` symbols. A group of suffixes that are equal so
     far has as its number its first place in the array; each round sorts only the groups that are
     not yet single, by the group number `h` symbols on, and doubles h, until all are single or h
-    reaches `until`. `levels` collects (h, numbers) before each round.
+    is `until` (the last round goes just so far). `levels` collects (h, numbers) before each round.
+
+    With `room`, the symbols from each place to its block's end, a suffix is refined no further than
+    its room: then the numbers tell those apart by h symbols that have room for h, and no others.
     """
     n = len(keys)
     sa = np.argsort(keys, kind="stable")
@@ -31,11 +36,14 @@ def refine(keys: np.ndarray, first: int, until: int | None = None, levels: list
             levels.append((h, rank[:-1].copy()))
         if not len(places) or (until is not None and h >= until):
             return sa, rank[:-1]
+        step = h if until is None else min(h, until - h)
         at = sa[places]
-        group = rank[at]
-        pair = group * (n + 1) + rank[np.minimum(at + h, n)] + 1
+        if room is not None:
+            wide = room[at] >= h + step
+            places, at = places[wide], at[wide]
+        pair = rank[at] * (n + 1) + rank[np.minimum(at + step, n)] + 1
         order = np.argsort(pair, kind="stable")
-        at, pair, group = at[order], pair[order], group[order]
+        at, pair = at[order], pair[order]
         sa[places] = at
         new = np.ones(len(at), bool)
         new[1:] = pair[1:] != pair[:-1]
@@ -43,7 +51,7 @@ def refine(keys: np.ndarray, first: int, until: int | None = None, levels: list
         size = np.diff(np.append(start, len(at)))
         rank[at] = np.repeat(places[start], size)
         places = places[np.repeat(size, size) > 1]
-        h *= 2
+        h += step
 
 
 def common_prefixes(sa: np.ndarray, levels: list) -> np.ndarray:

@@ -242,6 +242,63 @@ def test_windows_by_suffix_array():
             assert starts.tolist() == [i for i in range(len(b) - 39) if seen[b[i : i + 40]] > 1]
 
 
+@pytest.mark.parametrize("until", [5, 12, 16])
+def test_suffixes_are_refined_just_so_far(until):
+    from planloom.llm.suffixes import refine
+
+    r = random.Random(until)
+    for _ in range(40):
+        blocks = [[r.randint(1, 3) for _ in range(r.randint(1, 40))] for _ in range(4)]
+        x = sum(blocks, [])
+        room = np.concatenate([np.arange(len(b), 0, -1) for b in blocks])
+        for wide in (None, room):
+            sa, rank = refine(np.array(x, np.int64), 1, until=until, room=wide)
+            assert sorted(sa.tolist()) == list(range(len(x)))
+            real = [i for i in range(len(x)) if room[i] >= until]
+            for i in real:
+                for j in real:
+                    assert (rank[i] < rank[j]) == (x[i : i + until] < x[j : j + until])
+
+
+def test_blocks_hold_every_window(monkeypatch):
+    monkeypatch.setattr(repeats, "CHUNK", 64)
+    r = random.Random(6)
+    for slice_ in (1 << 22, 150):
+        monkeypatch.setattr(repeats, "SLICE", slice_)
+        base = [bytes(r.choice(b"ab") for _ in range(70)) for _ in range(4)]
+        texts = [b"", b"x" * 39, b"y" * 200, *(b"".join(r.choice(base) for _ in range(r.randint(0, 4))) for _ in range(20)), b"", b"z" * 40, b""]
+        off = np.cumsum([0, *map(len, texts)])
+        data = np.frombuffer(b"".join(texts), np.uint8)
+        windows, mark = [], {}
+        for text, start, size, m, at, _, _ in repeats.blocks_of(repeats.BYTE[data], off, 40, 8):
+            assert (at == off[text] + start).all()
+            for k, a, n, h in zip(text.tolist(), start.tolist(), size.tolist(), m.tolist(), strict=True):
+                for i in range(a, a + n - 39):
+                    windows.append((k, i))
+                    assert mark.setdefault(texts[k][i : i + 40], h) == h
+        assert windows == [(k, i) for k, t in enumerate(texts) for i in range(len(t) - 39)]
+
+
+def test_windows_cost_a_few_sorts(words):
+    """Of near copies, as a crowded minimiser has them."""
+    import time
+
+    text = words(60_000, 8).encode()
+    r = random.Random(8)
+    blocks = [text[a : a + 590] for a in (r.randrange(400) + 600 * r.randrange(40) for _ in range(440))]
+    keys = np.random.default_rng(8).integers(0, 1 << 62, sum(map(len, blocks)))
+
+    def seconds(run):
+        times = []
+        for _ in range(5):
+            t = time.process_time()
+            run()
+            times.append(time.process_time() - t)
+        return min(times)
+
+    assert seconds(lambda: repeats.repeated_windows(blocks, repeats.Rule())) < 6 * seconds(lambda: np.argsort(keys, kind="stable"))
+
+
 def test_fingerprints_tell_windows_apart():
     r = random.Random(5)
     blocks = [bytes(r.choice(b"ab") for _ in range(80)) for _ in range(50)]
