@@ -32,6 +32,7 @@ from .common import col, fresh, mix64, packs, texts_of
 
 SPACE = 0x2581
 BLOCK = 128
+SOME = 1 << 14
 ODD = np.uint64(0x9E3779B97F4A7C15)
 BASE = np.uint64(0x100000001B3)
 
@@ -59,6 +60,7 @@ class Pieces:
         self.raw_size = np.array([len(r) for r in self.raw])
         self.raw_begin = np.cumsum(self.raw_size) - self.raw_size
         self.raw_bytes = np.frombuffer(b"".join(self.raw), np.uint8)
+        self.raw_arrow = pa.array(self.raw, pa.large_binary())
         begins: dict[int, int] = {}
         for i in normal:
             h = 0
@@ -67,10 +69,18 @@ class Pieces:
                 begins.setdefault(h, -1)
             begins[h] = i
         self.most = max(len(sp.id_to_piece(i)) for i in normal)
+        self.grows = np.zeros(n + 1, bool)  # whether longer pieces begin with this one; the last entry is for -1, a mere beginning
+        self.grows[-1] = True
+        for i in normal:
+            h = 0
+            for c in sp.id_to_piece(i)[:-1]:
+                h = (h * int(BASE) + ord(c) + 1) & (2**64 - 1)
+                if begins[h] >= 0:
+                    self.grows[begins[h]] = True
         keys = np.array(list(begins), np.uint64)
-        ids = np.array(list(begins.values()), np.int64)
+        ids = np.array(list(begins.values()), np.int32)
         self.bits = np.uint64(64 - 19)
-        self.key, self.id = np.zeros(1 << 19, np.uint64), np.full(1 << 19, -2, np.int64)
+        self.key, self.id = np.zeros(1 << 19, np.uint64), np.full(1 << 19, -2, np.int32)
         self.probes = 0
         rest, k = np.arange(len(keys)), 0
         while len(rest):  # open addressing: whoever is first at a free slot stays, the others move on
@@ -88,7 +98,7 @@ class Pieces:
         at = (h * ODD >> self.bits).astype(np.int64)
         ids = self.id.take(at)
         hit = self.key.take(at) == h
-        out = np.where(hit, ids, -2)
+        out = np.where(hit, ids, np.int32(-2))
         rest = np.flatnonzero(~hit & (ids != -2))
         for k in range(1, self.probes):
             if not len(rest):
@@ -106,61 +116,102 @@ def pieces(path: str) -> Pieces:
 
 
 class Lattice:
-    """The lattice of some words laid end to end. Edges of a place are eo[place]:eo[place + 1]."""
+    """The lattice of some words laid end to end. Words that end alike share the places of their common
+    ending, as all that is known of a place depends on what follows alone. Places are numbered by how
+    many characters there are to the word's end, most first, so what the backward sums need at once
+    lies together; `first` is each word's first place. Edges of a place are eo[place]:eo[place + 1],
+    short ones first."""
 
     def __init__(self, model: Pieces, chars: np.ndarray, ends: np.ndarray):
-        n = len(chars)
         sizes = np.diff(np.concatenate([[0], ends]))
-        left = np.repeat(ends, sizes) - np.arange(n)  # characters from here to the word's end
-        code = chars.astype(np.uint64) + np.uint64(1)
-        at, h = np.arange(n), np.zeros(n, np.uint64)
-        place, piece, nth = [], [], []
+        left = np.repeat(ends, sizes) - np.arange(len(chars))
+        place, some, on = endings(chars, left, ends)
+        self.first = place[ends - sizes]
+        self.chars = chars[some]
+        n = len(some)
+        counts = np.bincount(left[some])[:0:-1]  # places with so many characters to go, from the most
+        begins = np.cumsum(counts) - counts
+        code = self.chars.astype(np.uint64) + np.uint64(1)
+        at = last = np.arange(n)
+        h = code
+        levels = []
         found = np.zeros(n, np.int64)  # edges of each place so far
-        for size in range(1, model.most + 1):
-            h = h * BASE + code[at + size - 1]
+        for _ in range(model.most):
             ids = model.find(h)
-            ok = ids >= 0
-            if size == 1:
-                ok, ids = np.ones(n, bool), np.where(ok, ids, -1 - (ids == -1))  # -1 (-2) for no piece (but beginnings of some)
+            after = on.take(last)
+            ok = np.flatnonzero(ids >= 0) if levels else slice(None)  # a character without a piece is an edge too
             mine = at[ok]
-            place.append(mine)
-            piece.append(np.maximum(ids[ok], -1))
-            nth.append(found[mine])
-            found[mine] += 1
-            more = ((ids > -1) | (ids == (-2 if size == 1 else -1))) & (left[at] > size)
-            at, h = at[more], h[more]
+            nth = found[mine]
+            levels.append((mine, np.maximum(ids[ok], -1), after[ok], nth))
+            found[mine] = nth + 1
+            more = np.flatnonzero((ids != -2) & model.grows.take(ids) & (after < n))
+            at, last = at[more], after[more]
             if not len(at):
                 break
+            h = h[more] * BASE + code[last]
         self.eo = np.concatenate([[0], np.cumsum(found)])
-        slot = [self.eo[p] + k for p, k in zip(place, nth, strict=True)]
-        self.place, self.length, self.piece = (np.empty(self.eo[-1], np.int64) for _ in range(3))
-        for k, (to, p, i) in enumerate(zip(slot, place, piece, strict=True)):
-            self.place[to], self.length[to], self.piece[to] = p, k + 1, i
-        width = 1 + (chars[self.place] > 0x7F) + (chars[self.place] > 0x7FF) + (chars[self.place] > 0xFFFF)
-        weight = np.where(self.piece >= 0, model.weight[self.piece], model.unknown * width)
-        self.next = np.where(left[self.place] == self.length, -1, self.place + self.length)
+        self.place = np.repeat(np.arange(n, dtype=np.int32), found)
+        self.piece, self.next = np.empty(self.eo[-1], np.int32), np.empty(self.eo[-1], np.int64)
+        for mine, ids, after, nth in levels:
+            to = self.eo.take(mine) + nth
+            self.piece[to], self.next[to] = ids, after
+        self.next[self.next == n] = -1
+        weight = model.weight.take(self.piece)
+        bare = np.flatnonzero(self.piece < 0)
+        weight[bare] = model.unknown * utf8_size(self.chars[self.place[bare]])
         beta = np.zeros(n + 1)  # the last entry is the word's end
-        to_end = left[self.place]
-        # 16-bit keys sort by radix; there are longer words only in odd texts
-        by_left = np.argsort(to_end.astype(np.uint16) if to_end.max() < 1 << 16 else to_end, kind="stable")
-        bounds = np.concatenate([[0], np.cumsum(np.bincount(to_end))])
-        for lo, hi in zip(bounds[1:-1].tolist(), bounds[2:].tolist(), strict=True):
-            e = by_left[lo:hi]
-            v = weight[e] + beta[self.next[e]]
-            p = self.place[e]
-            first = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
-            top = np.maximum.reduceat(v, first)
-            beta[p[first]] = top + np.log(np.add.reduceat(np.exp(v - np.repeat(top, np.diff(np.append(first, len(v))))), first))
         #: log probability of each edge, given that its place is reached
-        self.log_p = np.minimum(weight + beta[self.next] - beta[self.place], 0.0)
+        self.log_p = np.empty(len(weight))
+        for lo, hi in zip(begins[::-1].tolist(), (begins + counts)[::-1].tolist(), strict=True):
+            a, b = int(self.eo[lo]), int(self.eo[hi])
+            v = weight[a:b] + beta.take(self.next[a:b])
+            first, many = self.eo[lo:hi] - a, found[lo:hi]
+            top = np.maximum.reduceat(v, first)
+            beta[lo:hi] = top + np.log(np.add.reduceat(np.exp(v - np.repeat(top, many)), first))
+            np.subtract(v, np.repeat(beta[lo:hi], many), out=self.log_p[a:b])
+        np.minimum(self.log_p, 0.0, out=self.log_p)
         self.upto = np.exp(self.log_p)
-        rank = np.arange(len(self.place)) - self.eo[self.place]
-        for k in range(1, int(rank.max()) + 1):  # place by place, so a word's numbers don't depend on its neighbours
-            to = np.flatnonzero(rank == k)
-            self.upto[to] += self.upto[to - 1]
+        at, k = np.flatnonzero(found > 1), 1
+        while len(at):  # place by place, so a word's numbers don't depend on its neighbours
+            to = self.eo.take(at) + k
+            self.upto[to] += self.upto.take(to - 1)
+            k += 1
+            at = at[found.take(at) > k]
         self.upto[self.eo[1:] - 1] = 2.0  # the last edge takes what rounding leaves
 
 
+def endings(chars: np.ndarray, left: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers for the endings of words that begin at each character, equal ones alike and long ones
+    first; of each number one such character, and the number that follows (at the end: how many there are)."""
+    before = np.concatenate([[0], ends])
+    for salt in range(1 << 10):
+        h = mix64(chars.astype(np.uint64) + (left.astype(np.uint64) << np.uint64(32)) + np.uint64(salt << 21))
+        h = np.append(np.cumsum(h[::-1])[::-1], np.uint64(0))
+        h = h[:-1] - np.repeat(h[ends], np.diff(before))
+        order = np.argsort(h)
+        h = h[order]
+        new = np.concatenate([[True], h[1:] != h[:-1]])
+        some = order[new]
+        # 16-bit keys sort by radix; there are longer words only in odd texts
+        far = left.max() - left[some]
+        by_left = np.argsort(far.astype(np.uint16) if far.max() < 1 << 16 else far, kind="stable")
+        number = np.empty(len(some), np.int64)
+        number[by_left] = np.arange(len(some))
+        place = np.empty(len(chars), np.int64)
+        place[order] = number[np.cumsum(new) - 1]
+        some = some[by_left]
+        after = np.append(place[1:], 0)
+        after[ends - 1] = len(some)
+        # equal numbers are equal endings, as their first characters and what follows are equal
+        if (chars[some][place] == chars).all() and (after[some][place] == after).all():
+            return place, some, after[some]
+    raise AssertionError("hashes of word endings collide whatever the salt")
+
+
+def utf8_size(chars: np.ndarray) -> np.ndarray:
+    return 1 + (chars > 0x7F).astype(np.int64) + (chars > 0x7FF) + (chars > 0xFFFF)
+
+
 def uniform(key: np.ndarray) -> np.ndarray:
     return ((mix64(key) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
@@ -173,29 +224,34 @@ def gumbel_below(phi: np.ndarray, top: np.ndarray, u: np.ndarray) -> np.ndarray:
 
 def walk(lat: Lattice, start: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Samples each word to its end from the given places (-1: at its end already): the number of
-    edges of each word, and all edges in order."""
-    n = len(start)
-    at, who = start, np.flatnonzero(start >= 0)
+    edges of each word, and all edges in order. Goes by some words at a time, equal and like ones
+    together, so what they read stays in cache."""
+    count = np.zeros(len(start), np.int64)
     steps = []
-    count = np.zeros(n, np.int64)
-    at = at[who]
-    k = 0
-    while len(who):
-        u = uniform(key[who] + np.uint64(k * int(ODD) & 2**64 - 1))
-        e = lat.eo[at]
-        rest = np.flatnonzero(u > lat.upto[e])
-        while len(rest):
-            e[rest] += 1
-            rest = rest[u[rest] > lat.upto[e[rest]]]
-        steps.append((who, e))
-        count[who] += 1
-        at = lat.next[e]
-        on = at >= 0
-        who, at, k = who[on], at[on], k + 1
-    begin = np.concatenate([[0], np.cumsum(count)])
-    out = np.empty(begin[-1], np.int64)
-    for i, (w, e) in enumerate(steps):
-        out[begin[w] + i] = e
+    order = np.argsort(start)
+    order = order[np.searchsorted(start, 0, sorter=order) :]
+    for lo in range(0, len(order), SOME):
+        who = order[lo : lo + SOME]
+        at, keys, k = start.take(who), key.take(who), 0
+        while len(who):
+            u = uniform(keys + np.uint64(k * int(ODD) & 2**64 - 1))
+            e = lat.eo.take(at)
+            rest = np.flatnonzero(u > lat.upto.take(e))
+            later, u = e.take(rest), u.take(rest)
+            while len(rest):
+                later += 1
+                e[rest] = later
+                on = np.flatnonzero(u > lat.upto.take(later))
+                rest, later, u = rest.take(on), later.take(on), u.take(on)
+            steps.append((k, who, e))
+            count[who] = k = k + 1
+            at = lat.next.take(e)
+            on = np.flatnonzero(at >= 0)
+            who, at, keys = who.take(on), at.take(on), keys.take(on)
+    begin = np.cumsum(count) - count
+    out = np.empty(int(count.sum()), np.int64)
+    for k, who, e in steps:
+        out[begin.take(who) + k] = e
     return count, out
 
 
@@ -263,6 +319,16 @@ def opened(lat: Lattice, item: tuple) -> list[Nodes]:
     return nodes
 
 
+def word_hashes(chars: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64 bits of each word; some words at a time, so arrays stay in cache."""
+    out = []
+    for lo in range(0, len(start), SOME // 4):
+        a, b = start[lo : lo + SOME // 4], end[lo : lo + SOME // 4]
+        within = np.arange(a[0], b[-1]) - np.repeat(a, b - a)
+        out.append(np.add.reduceat(mix64(chars[a[0] : b[-1]].astype(np.uint64) + (within.astype(np.uint64) << np.uint64(32))), a - a[0]))
+    return np.concatenate(out)
+
+
 def sample_pack(model: Pieces, texts: list[str], keys: np.ndarray, k: int):
     """Of each text up to k samples (edges, log probability, perturbed value) and kappa; and the lattice."""
     full = [(" " + t) if t else "" for t in texts]
@@ -278,14 +344,16 @@ def sample_pack(model: Pieces, texts: list[str], keys: np.ndarray, k: int):
     if not len(start):
         return None, [([(np.zeros(0, np.int64), 0.0, 0.0)], -np.inf) for _ in texts]
     end = np.append(start[1:], len(chars))
-    within = np.arange(len(chars)) - np.repeat(start, end - start)
-    hashes = np.add.reduceat(mix64(chars.astype(np.uint64) + (within.astype(np.uint64) << np.uint64(32))), start)
-    _, first, word = np.unique(hashes, return_index=True, return_inverse=True)
+    hashes = word_hashes(chars, start, end)
+    order = np.argsort(hashes)
+    new = np.concatenate([[True], hashes[order][1:] != hashes[order][:-1]])
+    first, word = order[new], np.empty(len(order), np.int64)
+    word[order] = np.cumsum(new) - 1
     length = (end - start)[first]
     ends = np.cumsum(length)
     where = np.repeat(start[first] - ends + length, length) + np.arange(ends[-1])
     lat = Lattice(model, chars[where], ends)
-    begin = (ends - length)[word]  # of each occurrence: its word's first place in the lattice
+    begin = lat.first[word]  # of each occurrence: its word's first place in the lattice
     text_of = np.searchsorted(text_end, start, "right")
     words_of = np.searchsorted(text_of, np.arange(len(texts) + 1))
     nth = np.arange(len(start)) - words_of[text_of]
@@ -357,17 +425,32 @@ def sample_pack(model: Pieces, texts: list[str], keys: np.ndarray, k: int):
     return lat, list(zip(done, kappa.tolist(), strict=True))
 
 
-def ids_of(model: Pieces, lat: Lattice, edges: np.ndarray, text: str) -> np.ndarray:
-    """Piece ids of a path; a character without a piece becomes its bytes' pieces."""
-    ids = lat.piece[edges]
+def ids_of_all(model: Pieces, lat: Lattice, paths: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Piece ids of paths end to end, and where each path's end; a character without a piece becomes its bytes' pieces."""
+    edges = np.concatenate(paths)
+    ends = np.cumsum([len(x) for x in paths])
+    ids = lat.piece.take(edges)
     bare = np.flatnonzero(ids < 0)
     if not len(bare):
-        return ids
-    at = np.cumsum(lat.length[edges]) - lat.length[edges]
-    raw = [(" " + text)[i].encode("utf-8", "surrogatepass") for i in at[bare].tolist()]
-    ids[bare] = model.by_byte[[r[0] for r in raw]]
-    more = [(i + 1, b) for i, r in zip(bare.tolist(), raw, strict=True) for b in r[1:]]
-    return np.insert(ids, [i for i, _ in more], model.by_byte[[b for _, b in more]]) if more else ids
+        return ids, ends
+    c = lat.chars[lat.place[edges[bare]]].astype(np.int64)
+    size = utf8_size(c)
+    times = np.ones(len(ids), np.int64)
+    times[bare] = size
+    end = np.cumsum(times)
+    ids = np.repeat(ids, times)
+    at = end[bare] - size
+    for k in range(4):  # the k-th byte: its first one has a mark of the size, the others six bits each
+        on = size > k
+        lead = np.array([0, 0, 0xC0, 0xE0, 0xF0])[size[on]] if k == 0 else 0x80
+        bits = c[on] >> (6 * (size[on] - 1 - k))
+        ids[at[on] + k] = model.by_byte[lead | (bits if k == 0 else bits & 0x3F)]
+    return ids, np.concatenate([[0], end])[ends]
+
+
+def ids_of(model: Pieces, lat: Lattice, edges: np.ndarray, text: str) -> np.ndarray:
+    """Piece ids of a path of the text."""
+    return ids_of_all(model, lat, [edges])[0]
 
 
 def decode_ids(model: Pieces, ids: Iterable[int]) -> str:
@@ -378,14 +461,16 @@ def decode_ids(model: Pieces, ids: Iterable[int]) -> str:
 
 
 def decodes_to(model: Pieces, ids: np.ndarray, text: bytes) -> bool:
-    """Whether decode_ids gives the text, with the pieces' bytes gathered at once."""
-    size = model.raw_size[ids]
-    total = int(size.sum())
-    if total != len(text) + (total > 0):
-        return False
-    end = np.cumsum(size)
-    at = np.repeat(model.raw_begin[ids] - end + size, size) + np.arange(total)
-    return model.raw_bytes[at].tobytes()[1:] == text
+    """Whether decode_ids gives the text."""
+    return decode_to(model, ids, np.array([len(ids)]), [text])[0]
+
+
+def decode_to(model: Pieces, ids: np.ndarray, ends: np.ndarray, texts: list[bytes]) -> list[bool]:
+    """For ids that end at `ends`, whether decode_ids gives the texts; the pieces' bytes are gathered at once."""
+    joined = model.raw_arrow.take(pa.array(ids))
+    at = np.frombuffer(joined.buffers()[1], np.int64)[np.concatenate([[0], ends])].tolist()
+    raw = joined.buffers()[2].to_pybytes() if at[-1] else b""
+    return [b - a == len(t) + (b > a) and raw[a + 1 : b] == t for a, b, t in zip(at[:-1], at[1:], texts, strict=True)]
 
 
 def text_keys(ids: list[str | None], seed: int) -> np.ndarray:
@@ -419,21 +504,30 @@ def sampled_segmentations(
         for b in packs(batches, text):
             texts = texts_of(b, text)
             lat, found = sample_pack(model, texts, text_keys(col(b, key).to_pylist(), seed), k)
-            got = {n: [] for n, _ in extra}
-            for t, (samples, kappa) in zip(texts, found, strict=True):
-                ids = [ids_of(model, lat, s[0], t) if lat else s[0] for s in samples]
-                log_p = np.array([s[1] for s in samples])
-                got["n_pieces"].append(np.array([len(x) for x in ids], np.int32))
-                got["log_prob"].append(log_p)
-                got["perturbed"].append(np.array([s[2] for s in samples]))
-                with np.errstate(over="ignore"):
-                    got["inclusion"].append(np.ones(len(ids)) if kappa == -np.inf else -np.expm1(-np.exp(log_p - kappa)))
-                got["ids_sha256"].append([hashlib.sha256(x.astype("<i4").tobytes()).hexdigest() for x in ids])
-                plain = t.replace(chr(SPACE), " ").encode("utf-8", "surrogatepass")
-                got["round_trip"].append(all(decodes_to(model, x, plain) for x in ids))
-                if with_ids:
-                    got["ids"].append([x.astype(np.int32) for x in ids])
-            yield pa.RecordBatch.from_arrays([*(col(b, c) for c in keep), *(pa.array(got[n], schema_type(t)) for n, t in extra)], [*keep, *got])
+            samples = [s for of, _ in found for s in of]
+            many = np.array([len(of) for of, _ in found])
+            ids, ends = ids_of_all(model, lat, [s[0] for s in samples]) if lat else (np.zeros(0, np.int32), np.zeros(len(samples), np.int64))
+            ids = ids.astype("<i4", copy=False)
+            cuts = np.concatenate([[0], ends])
+            plain = [t.replace(chr(SPACE), " ").encode("utf-8", "surrogatepass") for t in texts]
+            same = decode_to(model, ids, ends, [plain[i] for i in np.repeat(np.arange(len(texts)), many).tolist()])
+            log_p = np.array([s[1] for s in samples])
+            with np.errstate(over="ignore"):  # without a next value kappa is -inf, the score 1
+                inclusion = -np.expm1(-np.exp(log_p - np.repeat([kappa for _, kappa in found], many)))
+            row = np.concatenate([[0], np.cumsum(many)])
+            got = {
+                "n_pieces": np.diff(cuts),
+                "log_prob": log_p,
+                "perturbed": np.array([s[2] for s in samples]),
+                "inclusion": inclusion,
+                "ids_sha256": [hashlib.sha256(ids[lo:hi]).hexdigest() for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)],
+            }
+            lists = {n: pa.array(x, schema_type(dict(extra)[n]).value_type) for n, x in got.items()}
+            if with_ids:
+                lists["ids"] = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(ids, pa.int32()))
+            made_here = {n: pa.ListArray.from_arrays(pa.array(row, pa.int32()), x) for n, x in lists.items()}
+            made_here["round_trip"] = pa.array(np.logical_and.reduceat(same, row[:-1]))
+            yield pa.RecordBatch.from_arrays([*(col(b, c) for c in keep), *(made_here[n] for n, _ in extra)], [*keep, *(n for n, _ in extra)])
 
     return base.mapInArrow(run, schema)
 

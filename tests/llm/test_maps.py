@@ -479,6 +479,37 @@ def test_lumps_open_up():
     assert all(len({s[0].tobytes() for s in samples}) == len(samples) == 3 for samples, _ in found)
 
 
+@pytest.mark.parametrize("collide", [False, True])
+def test_common_endings_are_weighed_once(monkeypatch, collide):
+    """A pack's places are its words' distinct endings, and each has the numbers that it has in a lattice of its own."""
+    model, keys = lattice.pieces(MODEL), lattice.text_keys(["1"], 0)
+    words = ["a\u0378tion", "nation", "on", "ration", "station", "x"]
+    text = " ".join([*words, "station"])
+    alone = [lattice.sample_pack(model, [w], keys, 1)[0] for w in words]
+    size, calls, good = len(text) + 1 - len(" station"), [], lattice.mix64
+
+    def bad(x):
+        calls.append(len(x))
+        return x >> np.uint64(32) if len(x) == size and calls.count(size) == 1 else good(x)
+
+    if collide:  # the first hashes are no use: all endings of a size look equal
+        monkeypatch.setattr(lattice, "mix64", bad)
+    lat, found = lattice.sample_pack(model, [text], keys, 3)
+    assert len(lat.eo) - 1 == len({(" " + w)[i:] for w in words for i in range(len(w) + 1)})
+    assert calls.count(size) == (2 if collide else 0)
+
+    def spelled(place):  # by edges of one character, which come first
+        return "" if place == -1 else chr(lat.chars[place]) + spelled(int(lat.next[lat.eo[place]]))
+
+    place_of = {spelled(p): p for p in range(len(lat.eo) - 1)}
+    for word, own in zip(words, alone, strict=True):
+        for i in range(len(word) + 1):
+            p = place_of[("\u2581" + word)[i:]]
+            mine, its = slice(*lat.eo[p : p + 2]), slice(*own.eo[i : i + 2])
+            assert lat.piece[mine].tolist() == own.piece[its].tolist() and lat.log_p[mine].tolist() == own.log_p[its].tolist()
+    assert all(lattice.decodes_to(model, lattice.ids_of(model, lat, s[0], text), text.encode()) for s in found[0][0])
+
+
 # ---- odd rows --------------------------------------------------------------------------------
 
 
